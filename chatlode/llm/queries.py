@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from chatlode.llm import conversations, duplicates
+from chatlode.llm import conversations, duplicates, encoding, packing, pairs, sentences
 
 
 def queries():
     return {
+        "p2_found": pairs.p2_found,
         "p5_found": duplicates.p5_found,
         "p5_counts": duplicates.p5_counts,
         "p6_found": conversations.p6_found,
         "p6_conversations": conversations.p6_conversations,
+        "p7_ids": encoding.p7_ids,
+        "p8_containers": packing.p8_containers,
+        "p8_unused": packing.p8_unused,
+        "p9_found": sentences.p9_found,
     }
 
 
