@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from chatlode.llm import conversations, duplicates, encoding, packing, pairs, sentences
+from chatlode.llm import conversations, duplicates, encoding, packing, pairs, pii, sentences, subjects
 
 
 def queries():
     return {
+        "p1_found": pii.p1_found,
+        "p1_masked": pii.p1_masked,
         "p2_found": pairs.p2_found,
+        "p3_found": subjects.p3_found,
+        "p3_composition": subjects.p3_composition,
         "p5_found": duplicates.p5_found,
         "p5_counts": duplicates.p5_counts,
         "p6_found": conversations.p6_found,
