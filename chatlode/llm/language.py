@@ -13,25 +13,29 @@ WORDS = {
 }
 _SETS = {k: set(v.split()) for k, v in WORDS.items()}
 _TOKEN = re.compile(r"[a-zà-öø-ÿßœ]+(?:'[a-zà-öø-ÿ]+)?")
-_KANA = re.compile(r"[぀-ヿ]")
-_HAN = re.compile(r"[一-鿿]")
-_LATIN = re.compile(r"[A-Za-zÀ-ÿ]")
-_CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`|https?://\S+|\S+@\S+|[!-~]*\d[!-~]*", re.S)
+_KANA = re.compile(r"[぀-ヿ]+")
+_HAN = re.compile(r"[一-鿿]+")
+_BLOCK = re.compile(r"```.*?(?:```|$)", re.S)
+_SPAN = re.compile(r"`[^`\n]*`|https?://\S+|\S+@\S+")
 _MARKS = (("¿¡ñ", "es"), ("ßäöü", "de"), ("çœêèàùîô", "fr"))
 
 
 def language(text: str) -> tuple[str | None, float]:
     """(language, margin): zh, ja, en, de, fr, es or null; the margin is the lead in function words, or follows the letters of a script."""
-    t = _CODE.sub(" ", text)
-    kana, han, latin = len(_KANA.findall(t)), len(_HAN.findall(t)), len(_LATIN.findall(t))
-    if (han + kana) * 3 >= latin and han + kana:
-        return ("ja", kana) if kana * 6 >= han else ("zh", han / 8)  # a few characters can be either
-    if latin < 2:
-        return None, 0
+    t = _BLOCK.sub(" ", text) if "```" in text else text
+    if "`" in t or "@" in t or "://" in t:
+        t = _SPAN.sub(" ", t)
     low = t.lower()
     tokens = _TOKEN.findall(low)
+    if not t.isascii():
+        kana, han = sum(map(len, _KANA.findall(t))), sum(map(len, _HAN.findall(t)))
+        if han + kana and (han + kana) * 3 >= sum(map(len, tokens)):
+            return ("ja", kana) if kana * 6 >= han else ("zh", han / 8)  # a few characters can be either
+    if not tokens:
+        return None, 0
     score = {k: float(sum(map(known.__contains__, tokens))) for k, known in _SETS.items()}
-    for marks, k in _MARKS:
-        score[k] += 0.5 * sum(low.count(c) for c in marks)
+    if not low.isascii():
+        for marks, k in _MARKS:
+            score[k] += 0.5 * sum(map(low.count, marks))
     (a, x), (_, y) = sorted(score.items(), key=lambda kv: -kv[1])[:2]
     return (a, x - y) if x > y else (None, 0)
