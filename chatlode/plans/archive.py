@@ -1,22 +1,14 @@
-"""Registry of the archive's queries, each with the SQL that gives the same rows."""
+"""The archive's queries, each with the SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from chatlode.operators import timestamps
-from chatlode.session import table
-
-
-def a3_by_source(spark, sf_dir):
-    """Conversations, messages and characters per source."""
-    m = table(spark, sf_dir, "messages")
-    return m.groupBy("source").agg(F.countDistinct("conversation_id").alias("conversations"), F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))
+from chatlode.operators import enrichment, relations, search, stats, timestamps  # noqa: F401  the modules register their queries
+from chatlode.operators.registry import QUERIES
 
 
 def queries():
-    return {"a3_by_source": a3_by_source, "p4_found": timestamps.p4_found}
+    return {name: f for name, (f, _) in QUERIES.items()} | {"p4_found": timestamps.p4_found}
 
 
 def oracle_sql():
-    return {"a3_by_source": "SELECT source, count(DISTINCT conversation_id) AS conversations, count(*) AS messages, sum(length(text)) AS chars FROM messages GROUP BY source"}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
