@@ -53,4 +53,4 @@ def with_one_width(df: DataFrame, name: str, col: Column) -> DataFrame:
 def letters_key(wide: Column) -> Column:
     """Letters, digits and symbols of a text of one width, in one case: whitespace, punctuation and invisible signs are gone."""
     plain = F.regexp_replace(wide, r"[^\p{L}\p{N}\p{M}\p{S}]+|[`^~|\x{00B4}\x{3164}\x{115F}\x{1160}\x{FE00}-\x{FE0F}]+", "")
-    return F.lower(F.upper(plain))
+    return F.replace(F.lower(F.upper(plain)), F.lit("ß"), F.lit("ss"))
