@@ -20,6 +20,7 @@ from chatlode.operators.timestamps import normalize_timestamps
 from chatlode.session import checkpointed, table
 
 CATCH_ALL = "gemini-unknown"
+SALT = 16
 #: Opening of an answer that quotes its prompt: a short lead-in, then the prompt in quotation marks.
 QUOTED = r"^[^\r\n“「«„]{0,40}[“「«„]([\s\S]{20,}?)[”」»“]\s*(?:\r?\n|$)"
 
@@ -220,7 +221,9 @@ def p6_conversations(spark, sf_dir: str) -> DataFrame:
 
     rows = checkpointed(rebuild(*_tables(spark, sf_dir)))
     bad = validate(rows).where("defect is not null").select("conversation_id")
-    rows = rows.join(bad, "conversation_id", "left_anti")
+    # One conversation may hold a third of all rows: the join is spread over SALT copies of the ids.
+    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(bad, ["conversation_id", "salt"], "left_anti").drop("salt")
     # A thread is bounded by its exchange; the catch-all is numbered inside its threads, so no window holds all of it.
     unit = F.coalesce(F.col("thread").cast("string"), F.lit(""))
     turn = F.element_at(F.array(*map(F.lit, (0, 1, 3, 2))), F.col("who") + 1)
