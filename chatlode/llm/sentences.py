@@ -31,13 +31,15 @@ GERMAN_ORDINAL_AFTER = set("januar februar märz april mai juni juli august sept
 ZH_FINAL = set("了 吗 呢 吧 啊 呀 嘛 啦 过 矣 罢了 而已 下文".split())
 JA_FINAL = ("でした", "ました", "ません", "です", "ます", "だった", "った", "した", "だ", "た", "ね", "よ", "か", "ない")
 #: Words that carry a sentence on after a quotation or bracket.
-ZH_ON = set("然后 就 便 随后 接着 于是 并 并且 而 而且 之后 后 的 地 是 这 那 等 和 与 及 或 也 还 都 才 又 再 说 问 道 喊".split())
+ZH_ON = set("然后 就 便 随后 接着 于是 并 并且 而 而且 之后 后 的 地 是 等 和 与 及 或 也 还 都 才 又 再 说 问 道 喊".split())
 JA_ON = set("と って という などと は が を に で の も へ から まで より や か だと".split())
 HI_ON = set("उसने उन्होंने ने कहा बोला बोली बोले पूछा और फिर वह मैंने हमने तब".split())
 AR_ON = set("ثم و قال قالت وقال فقال ف حين عندما".split())
+#: Names that stand in lower case at the start of a sentence.
+LOWER_OPENERS = set("npm pip git node yarn bash curl grep sudo iphone ipad ios macos ebay".split())
 ZH_SPEAK = re.compile(r"\s*[一-鿿]{1,5}?(?:问|说|道|喊|答|叫|笑|想)")
 #: Words of the lattice by which spaceless scripts are read around a gap.
-LEXICON = ZH_FINAL | ZH_ON | JA_ON | set(JA_FINAL) | set("他 她 它 我 你 们 这件事 那么 因为 所以 如果 没有 それ これ その この 何 も そして しかし".split()) | set("ครับ ค่ะ คะ นะ แล้ว และ หรือ แต่ ที่ ซึ่ง เพราะ จะ ได้ ไม่ โดย ว่า กับ ของ".split())
+LEXICON = ZH_FINAL | ZH_ON | JA_ON | set(JA_FINAL) | set("后来 后天 就是 是否 等到 再说 还有 都市 地图 和弦 他 她 它 我 你 们 这件事 那么 因为 所以 如果 没有 それ これ その この 何 も そして しかし".split()) | set("ครับ ค่ะ คะ นะ แล้ว และ หรือ แต่ ที่ ซึ่ง เพราะ จะ ได้ ไม่ โดย ว่า กับ ของ".split())
 TH_ON = set("และ หรือ ซึ่ง โดย กับ".split())
 LONGEST = max(map(len, LEXICON))
 
@@ -52,6 +54,7 @@ _HEAD = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+|$)")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•‣◦]|\d{1,9}[.)])[ \t]+")
 _RULE = re.compile(r"[ \t]*([-*_])[ \t]*(?:\1[ \t]*){2,}$")
 _LINE = re.compile(r"[^\n\r]*(?:\r\n|\n|\r|$)")
+_RUN_ON = re.compile(r"[“\"¿¡«„]?[A-ZÀ-Þ][^\W\d_]*(?:['’][^\W\d_]+)?[ ,;:]")
 _GAP = set("​‌‍⁠﻿")
 
 
@@ -125,15 +128,22 @@ def _next_word(t: str, j: int, b: int) -> str:
     return t[j:k]
 
 
+def _opens(t: str, k: int, b: int) -> str:
+    """Script of the character at `k`; a name that is written small at the start of a sentence counts as a capital."""
+    after = _script(t[k])
+    return "up" if after == "low" and _next_word(t, k, b).lower() in LOWER_OPENERS else after
+
+
 def _period_ends(t: str, a: int, b: int, i: int, j: int, k: int) -> bool:
     """Whether the single full stop at `i` ends a sentence; `j` is behind it and its closers, `k` at the next character."""
-    if k == j:
-        return False  # something follows without a space: a decimal, a version, an address
-    after = _script(t[k])
-    if after == "low":
-        return False
+    if k == j:  # something follows without a space: a decimal, a version, an address, or the next sentence run on
+        word = _word_before(t, a, i)
+        return len(word) > 2 and word.isalpha() and word[1:].islower() and word.lower() not in TITLES | NUMBERED and bool(_RUN_ON.match(t, k)) and not (i - len(word) > a and t[i - len(word) - 1] in "/@._-")
+    after = _opens(t, k, b)
     word = _word_before(t, a, i)
     low = word.lower()
+    if after == "low":  # only after a plain word of some length, which no abbreviation is
+        return len(word) > 3 and word.isalpha() and low not in TITLES | NUMBERED | OPEN_END
     if not word:
         return True
     head = _script(word[-1])
@@ -173,16 +183,18 @@ def _ellipsis_ends(t: str, a: int, b: int, i: int, j: int, k: int) -> bool:
         return bool(words) and (words[-1] in ZH_FINAL or "".join(words).endswith(JA_FINAL) and _script(before) == "ja")
     if before and _script(before) == "th":
         return True
-    after = _script(t[k])
+    after = _opens(t, k, b)
     return k > j and after != "low" and not (after == "mark" and t[k] in ",;:")
 
 
-def _closer_ends(t: str, a: int, b: int, start: int, o: int, j: int, k: int) -> bool:
+def _closer_ends(t: str, a: int, b: int, start: int, o: int, j: int, k: int, strong: bool) -> bool:
     """Whether a quotation or bracket opened at `o`, with a terminator before its closer, ends the sentence from `start`."""
     if t[o] in TITLE_MARKS:
         return False
     leads = o == start
-    after = _script(t[k])
+    after = _opens(t, k, b)
+    if strong and (after in ("up", "num") or t[k] in OPEN):  # 。！？ inside, then Latin letters or another opening mark
+        return leads or t[o] not in ROUND
     if after in ("han", "ja"):
         if t[o] in ROUND:
             return leads
@@ -190,6 +202,8 @@ def _closer_ends(t: str, a: int, b: int, start: int, o: int, j: int, k: int) ->
         words = lattice(run)
         if _script(t[k]) == "ja" or any("぀" <= c < "㄀" for c in t[max(a, o) : min(b, k + 8)]):
             return words[0] not in JA_ON
+        if words[0] == "就" and k + 1 < b and t[k + 1].isascii():
+            return True  # "as for X", an opening
         return not (ZH_SPEAK.match(t, k) if leads else words[0] in ZH_ON)
     if after in ("hi", "ar"):
         word = _next_word(t, k, b)
@@ -241,7 +255,7 @@ def _block(t: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
                 k = j
                 while k < b and _space(t[k]):
                     k += 1
-                if k < b and _closer_ends(t, a, b, start, i, j, k):
+                if k < b and _closer_ends(t, a, b, start, i, j, k, t[last] in "。！？｡！？"):
                     cut(j)
             continue
         if _space(c):  # a gap beside Thai letters
@@ -269,7 +283,7 @@ def _block(t: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
         elif run == ".":
             ends = _period_ends(t, a, b, i, j, k)
         else:
-            after = _script(t[k])
+            after = _opens(t, k, b)
             ends = after in ("han", "ja", "th") or k > j and after != "low" and not (after == "mark" and t[k] in ",;:")
         if ends:
             cut(j)
