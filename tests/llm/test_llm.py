@@ -74,6 +74,7 @@ PII = [
     ("Elsie Mossby has seen the draft already.", {"name"}),
     ("剩下的可以问沈念安。", {"name"}),
     ("私は霧島 千歳と申します。", {"name"}),
+    ("电话：0086-157-0000-2082帮我", {"phone"}), ("Tel. 600 000 668 Una tabla", {"phone"}), ("Passport no. 948 34 1210 is on the form.", {"id_number"}), ("Meine Ausweisnummer lautet LZ 723 5165.", {"id_number"}), ("此致，欧阳望舒沿海公路", {"name"}), ("cc x38776 AT xinxiang.example", {"email"}),
     ("Mark the rows and hope for the best. The Key store is open. Stone Avenue is closed.", set()),
     ("", set()), (None, set()), ("x" * 50_000, set()), ("1 " * 20_000, set()),
 ]
@@ -352,6 +353,8 @@ SENTENCES = [
     ("ราคา1,323บาท คำถามนี้ยังไม่มีคำตอบ", ["ราคา1,323บาท", "คำถามนี้ยังไม่มีคำตอบ"]),
     ("डॉ. मेघवर्ण ने जाँची। “रुको! यह गरम है।” उसने कहा। संस्करण 2.2 तैयार है।", ["डॉ. मेघवर्ण ने जाँची।", "“रुको! यह गरम है।” उसने कहा।", "संस्करण 2.2 तैयार है।"]),
     ("راجع د. نورالبستان الجدول. قال: «توقف! إنه ساخن.» ثم خرج. هل الأمر؟", ["راجع د. نورالبستان الجدول.", "قال: «توقف! إنه ساخن.» ثم خرج.", "هل الأمر؟"]),
+    ("It is easier to judge. npm is not needed here. Then it ends.If the branch stays, see config.yaml first.", ["It is easier to judge.", "npm is not needed here.", "Then it ends.", "If the branch stays, see config.yaml first."]),
+    ("他回了一句“好。知道了。”（没人问过。）No. 9 很好。牌子上写着「暂停营业。下午再来！」后来就没有下文了……", ["他回了一句“好。知道了。”", "（没人问过。）", "No. 9 很好。", "牌子上写着「暂停营业。下午再来！」", "后来就没有下文了……"]),
     ("", []), (None, []), (" \n\t ", []), ("```\nopen fence. Never closed.", []),
 ]
 
