@@ -26,6 +26,16 @@ def get_spark(app: str = "chatlode", cores: str | int = "*") -> SparkSession:
     )
 
 
+def findable(spark: SparkSession) -> SparkSession:
+    """`spark`, its Python workers told where this package lies; needed where only the driver's own path names it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or ""
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, have]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
