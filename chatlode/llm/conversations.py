@@ -224,9 +224,16 @@ def p6_conversations(spark, sf_dir: str) -> DataFrame:
     # One conversation may hold a third of all rows: the join is spread over SALT copies of the ids.
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(bad, ["conversation_id", "salt"], "left_anti").drop("salt")
-    # A thread is bounded by its exchange; the catch-all is numbered inside its threads, so no window holds all of it.
-    unit = F.coalesce(F.col("thread").cast("string"), F.lit(""))
-    turn = F.element_at(F.array(*map(F.lit, (0, 1, 3, 2))), F.col("who") + 1)
-    w = Window.partitionBy("conversation_id", "unit").orderBy("idx", F.col("utc_us").isNull(), "utc_us", turn, "id")
+    rows = rows.withColumn("turn", F.element_at(F.array(*map(F.lit, (0, 1, 3, 2))), F.col("who") + 1))
+    # Whole conversations with indexes are numbered by them; the catch-all inside its threads; the others by time, in blocks of
+    # an hour with the rows of the blocks before, so that no window holds a conversation of any length.
+    by_index = rows.where("idx is not null and thread is null").withColumn("position", F.col("idx"))
+    by_thread = rows.where("thread is not null").withColumn("position", F.row_number().over(Window.partitionBy("thread").orderBy("idx", F.col("utc_us").isNull(), "utc_us", "turn", "id")).cast("long") - 1)
+    timed = rows.where("idx is null and thread is null").withColumn("block", F.coalesce(F.floor(F.col("utc_us") / 3_600_000_000), F.lit(1 << 60)))
+    blocks = timed.groupBy("conversation_id", "block").agg(F.count("*").alias("n"))
+    blocks = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("conversation_id").orderBy("block")) - F.col("n")).drop("n")
+    inside = F.row_number().over(Window.partitionBy("conversation_id", "block").orderBy("utc_us", "turn", "id"))
+    by_time = timed.join(blocks, ["conversation_id", "block"]).withColumn("position", inside + F.col("before") - 1).drop("block", "before")
+    rows = by_index.unionByName(by_thread).unionByName(by_time)
     named = F.element_at(F.array(*map(F.lit, ("system", "user", "assistant", "other"))), F.col("who") + 1)
-    return rows.withColumn("unit", unit).select("conversation_id", "thread", (F.row_number().over(w) - 1).alias("position"), "id", named.alias("role"))
+    return rows.select("conversation_id", "thread", "position", "id", named.alias("role"))

@@ -119,7 +119,7 @@ PAIRS = [
 
 def test_pair_defects(spark, zones):
     rows = [x for i, (q, a, _) in enumerate(PAIRS) for x in ((f"c{i}", 0, "User", q), (f"c{i}", 1, "bot", a))]
-    rows += [("gap", 0, "user", "q?"), ("gap", 2, "model", ""), ("files", 0, "user", "draw it"), ("files", 1, "model", None, None, ["a.png"])]
+    rows += [("gap", 0, "user", "q?"), ("gap", 2, "model", ""), ("files", 0, "user", "draw it"), ("files", 1, "model", None, None, ["a.png"]), (None, 0, "user", "lost?"), (None, 1, "model", "")]
     m = messages(spark, rows)
     twice = m.where("id = 2").withColumn("id", F.lit(999).cast("long"))
     got = {r.response_id: r.defect for r in pairs.defects(m.union(twice), *zones).collect()}
@@ -222,6 +222,16 @@ def test_conversations_equal_brute_force(spark, sf, archive):
     assert {c: d for c, d in got.items() if c not in unsure} == want
 
 
+def test_ordered_conversations(spark, sf):
+    got = queries.queries()["p6_conversations"](spark, sf).toPandas()
+    bad = {r.conversation_id for r in queries.queries()["p6_found"](spark, sf).collect()}
+    assert not set(got.conversation_id) & bad and got.id.is_unique
+    for _, g in got.groupby(["conversation_id", got.thread.fillna(-1)]):
+        assert sorted(g.position) == list(range(len(g)))
+        talk = [r for r in g.sort_values("position").role if r in ("user", "assistant")]
+        assert not any(a == b == "user" for a, b in itertools.pairwise([*talk, "user"]))
+
+
 def test_conversation_cases(spark, zones):
     t = "2024-01-01T00:00:%02d+00:00"
     rows = [("e", 0, "user", " ​"), ("e", 1, "ai", None), ("f", 0, "user", None, None, ["x"]), ("f", 1, "ai", "a"), ("p", 0, "user", "q"), ("p", None, "ai", "a"), ("d", 0, "user", "q"), ("d", 0, "ai", "a"), ("n", 1, "user", "q"), ("n", 2, "ai", "a"), ("m", 0, "user", "q"), ("m", 1, "tool", "x"), ("m", 2, "user", "q"), ("m", 3, "ai", "a"), ("l", 0, "user", "q"), ("l", 1, "ai", "a"), ("l", 2, "user", "q")]
