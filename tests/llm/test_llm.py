@@ -111,6 +111,7 @@ PAIRS = [
     ("What about the index?", "I'm sorry, but I can't help with that.", "refusal"), ("And the parser, what about it?", "I'm sorry, but I can't help with that.", "refusal"), ("Is the loop the cause of it?", "I'm sorry, but I can't help with that.", "refusal"),
     ("What about the cache of the build?", "I can't open the file itself, but your description is enough. " + LONG, None),
     ("What about the cache of the build?", "**what about the cache of the build?**", "copy"),
+    ("Why does the melody sound sad?", "Why does the melody sound sad?\n\nWhy does the melody sound sad?", "copy"),
     ("What about the cache of the build?", "Le cache est la cause, et il faut regarder les deux pour la suite.", "wrong_language"),
     ("What about the cache of the build? Reply in French, please.", "Le cache est la cause, et il faut regarder les deux pour la suite.", None),
     ("What about the cache of the build?", LONG, None), ("How long?", "42 minutes", None), ("Done?", "Yes", None), ("血圧の記録は終わりましたか。", "42分", None),
