@@ -58,6 +58,31 @@ def last_purchase(spark, d):
     return as_of(e.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "purchase", "purchase_id").select("event_id", "purchase_id")
 
 
+def _blocks(m: DataFrame, block: int = 1000, ids: int = 65_536) -> DataFrame:
+    """`m` with `_b`, its block inside its conversation in the order of (message_index, id): by indexes, by ids where there
+    is no index; rows without an index come first. Windows over blocks spread a conversation of any length over tasks."""
+    at = F.col("message_index")
+    return m.withColumn("_b", F.struct(at.isNotNull().alias("placed"), F.coalesce(F.floor(at / block), F.floor(F.col("id") / ids)).alias("at")))
+
+
+def _with_blocks_before(m: DataFrame, **before) -> DataFrame:
+    """`m`, made by _blocks, with a column for each of `before`: (aggregate of a block, function of that column and the window
+    of the conversation's blocks). Only blocks meet in that window."""
+    g = m.groupBy("conversation_id", "_b").agg(*(one.alias(k) for k, (one, _) in before.items()))
+    w = Window.partitionBy("conversation_id")
+    g = g.select(F.col("conversation_id").alias("_c"), F.col("_b").alias("_d"), *(over(F.col(k), w).alias(k) for k, (_, over) in before.items()))
+    return m.join(g, F.col("conversation_id").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_d"))).drop("_c", "_d")
+
+
+def _in_block():
+    return Window.partitionBy("conversation_id", "_b").orderBy("message_index", "id")
+
+
+def _before(c, w):
+    """Sum of the blocks before."""
+    return F.coalesce(F.sum(c).over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 _JUMP = "2025-06-27 12:00:00"
 
 
@@ -71,10 +96,18 @@ def jump(spark, d, at=_JUMP):
 
 
 @query("j9_inferred_times", f"SELECT id, strftime(coalesce(ts, CASE WHEN rl = 'assistant' THEN last_value(CASE WHEN rl = 'user' THEN ts END IGNORE NULLS) OVER (PARTITION BY conversation_id, CAST(floor(message_index / 1000) AS BIGINT) ORDER BY message_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END), '%Y-%m-%d %H:%M:%S') AS at FROM {M} WHERE message_index IS NOT NULL")
-def inferred_times(spark, d, block=1000):
+def inferred_times(spark, d, block=1000, whole=False):
     """An answer without a time inherits that of the prompt before it. Conversations are cut into blocks of indexes, so that
-    one of any length is spread over tasks; the inheritance stays inside its block."""
-    m = timeutil.messages(table(spark, d, "messages")).where("message_index is not null")
+    one of any length is spread over tasks; the inheritance stays inside its block, as the query's SQL has it. With `whole`
+    it passes on from block to block, and rows without an index, which have no prompt before them, keep their own time."""
+    m = timeutil.messages(table(spark, d, "messages"))
+    if whole:
+        m = _blocks(m, block)
+        asked = F.when((F.col("rl") == "user") & F.col("message_index").isNotNull(), F.col("ts"))
+        m = _with_blocks_before(m, carry=(F.max_by("ts", F.when(asked.isNotNull(), F.struct("message_index", "id"))), lambda c, w: F.last(c, ignorenulls=True).over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))))
+        prev = F.coalesce(F.last(asked, ignorenulls=True).over(_in_block().rowsBetween(Window.unboundedPreceding, Window.currentRow)), "carry")
+        return m.select("id", timeutil.text_of(F.coalesce("ts", F.when((F.col("rl") == "assistant") & F.col("message_index").isNotNull(), prev))).alias("at"))
+    m = m.where("message_index is not null")
     w = Window.partitionBy("conversation_id", F.floor(F.col("message_index") / block)).orderBy("message_index", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev = F.last(F.when(F.col("rl") == "user", F.col("ts")), ignorenulls=True).over(w)
     return m.select("id", timeutil.text_of(F.coalesce("ts", F.when(F.col("rl") == "assistant", prev))).alias("at"))
@@ -108,11 +141,12 @@ _SAMPLE_SQL = f"WITH m AS (SELECT *, row_number() OVER (PARTITION BY conversatio
 
 @query("w9_digest_sample", _SAMPLE_SQL + " SELECT conversation_id, id FROM s WHERE n <= 40 OR i = 0 OR i = n - 1 OR (i BETWEEN 1 AND n - 2 AND (i - 1) % step = 0 AND (i - 1) // step < 38)")
 def digest_sample(spark, d, cap=40, horizon=500):
-    """Head, evenly strided middle and tail of each conversation's first `horizon` messages: at most `cap` rows, the sampling
-    being the feature. Windows hold at most a conversation's rows below the horizon and their repeats."""
-    m = table(spark, d, "messages").where((F.col("message_index") < horizon) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    w = Window.partitionBy("conversation_id")
-    m = m.withColumn("i", F.row_number().over(w.orderBy("message_index", "id")) - 1).withColumn("n", F.count("*").over(w))
+    """Head, evenly strided middle and tail of each conversation: at most `cap` rows, the sampling being the feature. Only
+    indexes below `horizon` are seen, as the query's SQL has it; with None all messages are."""
+    m = table(spark, d, "messages").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    m = _blocks(m if horizon is None else m.where(F.col("message_index") < horizon))
+    m = _with_blocks_before(m, n=(F.count("*"), lambda c, w: F.sum(c).over(w)), before=(F.count("*"), _before))
+    m = m.withColumn("i", F.row_number().over(_in_block()) - 1 + F.col("before"))
     step = F.greatest(F.lit(1), F.floor((F.col("n") - 2) / (cap - 2)))
     mid = F.col("i").between(1, F.col("n") - 2) & ((F.col("i") - 1) % step == 0) & (F.floor((F.col("i") - 1) / step) < cap - 2)
     return m.where((F.col("n") <= cap) | (F.col("i") == 0) | (F.col("i") == F.col("n") - 1) | mid).select("conversation_id", "id")
@@ -120,10 +154,13 @@ def digest_sample(spark, d, cap=40, horizon=500):
 
 @query("w10_char_budget", f"SELECT conversation_id, id FROM (SELECT conversation_id, id, sum(length(text)) OVER (PARTITION BY conversation_id ORDER BY message_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {M} WHERE message_index < 500 AND text IS NOT NULL) WHERE run <= 1000")
 def char_budget(spark, d, budget=1000, horizon=500):
-    """Messages from the start of each conversation as long as their characters stay within a budget."""
-    m = table(spark, d, "messages").where((F.col("message_index") < horizon) & F.col("text").isNotNull())
-    w = Window.partitionBy("conversation_id").orderBy("message_index", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return m.withColumn("run", F.sum(F.length("text")).over(w)).where(F.col("run") <= budget).select("conversation_id", "id")
+    """Messages from the start of each conversation as long as their characters stay within a budget. Only indexes below
+    `horizon` are seen, as the query's SQL has it; with None all messages are."""
+    m = table(spark, d, "messages").where(F.col("text").isNotNull())
+    m = _blocks(m if horizon is None else m.where(F.col("message_index") < horizon)).select("conversation_id", "message_index", "id", "_b", F.length("text").alias("long"))
+    m = _with_blocks_before(m, before=(F.sum("long"), _before)).where(F.col("before") <= budget)
+    run = F.sum("long").over(_in_block().rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
+    return m.withColumn("run", run).where(F.col("run") <= budget).select("conversation_id", "id")
 
 
 @query("t1_list_page", "SELECT conversation_id, source, message_count FROM conversations ORDER BY updated_at DESC NULLS LAST, conversation_id LIMIT 50")

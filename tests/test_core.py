@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chatlode.functions.text import INVISIBLE, blank, letters_key, role, with_one_width
+from chatlode.operators import relations
 from chatlode.operators import search as search_ops
 from chatlode.operators.relations import as_of
 from chatlode.operators.timestamps import normalize_timestamps
@@ -54,6 +55,37 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert got == sorted((tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
 
 
+@pytest.fixture(scope="module")
+def long_conversation(tmp_path_factory):
+    """A folder with 2,600 messages in one conversation, answers alone from index 900 on; 30 rows without an index; rows without a conversation."""
+    at = tmp_path_factory.mktemp("long")
+    rows = [(i + 1, "long", "utc", i, "user" if i < 900 and i % 2 == 0 else "assistant", f"2024-01-01T00:{i // 60:02}:{i % 60:02}+00:00" if i < 900 and i % 2 == 0 else None, "x" * (i % 3)) for i in range(2600)]
+    rows += [(3000 + i, "long" if i % 2 else "bare", "utc", None, "assistant", None, "no index") for i in range(30)] + [(4000 + i, None, "utc", i, "user", None, "alone") for i in range(1200)]
+    c = duckdb.connect()
+    c.execute("create table m (id bigint, conversation_id varchar, source varchar, message_index int, role varchar, timestamp varchar, text varchar)")
+    c.executemany("insert into m values (?, ?, ?, ?, ?, ?, ?)", rows)
+    c.execute(f"copy m to '{at}/messages.parquet' (format parquet)")
+    c.execute(f"create view messages as select * from '{at}/messages.parquet'")
+    return str(at), c
+
+
+@pytest.mark.parametrize("name", ["w9_digest_sample", "w10_char_budget"])
+def test_digests_without_horizon_see_every_message(spark, long_conversation, name):
+    d, c = long_conversation
+    sql = archive.oracle_sql()[name].replace("message_index < 500 AND ", "").replace("ORDER BY message_index, id", "ORDER BY message_index NULLS FIRST, id")
+    f = {"w9_digest_sample": relations.digest_sample, "w10_char_budget": relations.char_budget}[name]
+    assert "500" not in sql and sorted(map(tuple, f(spark, d, horizon=None).collect()), key=repr) == sorted(c.execute(sql).fetchall(), key=repr)
+    assert sorted(map(tuple, f(spark, d).collect()), key=repr) == sorted(c.execute(archive.oracle_sql()[name]).fetchall(), key=repr)
+
+
+def test_inferred_times_pass_on_from_block_to_block(spark, long_conversation):
+    d, c = long_conversation
+    sql = archive.oracle_sql()["j9_inferred_times"].replace(", CAST(floor(message_index / 1000) AS BIGINT)", "")
+    want = dict(c.execute(sql).fetchall()) | {3000 + i: None for i in range(30)}
+    got = dict(map(tuple, relations.inferred_times(spark, d, whole=True).collect()))
+    assert got == want and got[2600] == "2024-01-01 00:14:58"
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
