@@ -356,15 +356,58 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[pos:]
 
 
-#: A trace that every candidate leaves; texts without one are not looked at.
-TRACE = (
-    r"(?i)[@＠]|\bat\b[^\n]{1,60}(?:\bdot\b|\.[a-z])|[\(\[]at[\)\]]|[0-9０-９](?:[ .\-/()（）－．]{0,2}[0-9０-９]){6}|(?:^|[^a-z0-9])[a-z]{1,2}[0-9]{2}[a-z0-9][0-9]{4}"
-    r"|name is|i am called|regards,|sincerely,|wishes,|\byours,|\bask\b|heiße|mein name|grüße,|gruß,|\bfrag\b|m'appelle|cordialement,|demande à|me llamo|mi nombre|saludos,|atentamente,|pregunta a"
-    r"|has seen the|hat den|hat schon|a déjà|ya (?:vio|ha)|\b(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|mlle|sra?)\b\.? \p{L}|\b(?-i:M|Fr|Hr)\. \p{L}|我叫|我是|此致|可以问|昨天已|先生|女士|申し|さん|より"
-    r"|\b(?:road|rd|street|st|avenue|ave|lane|ln|blvd|boulevard|drive|court|place|square|terrace|row)\b|(?:straße|strasse|str\.|gasse|weg|platz|allee|winkel|brink|ufer|damm|ring|steig|chaussee|hof|stieg) [0-9]|\b(?:am|an der|im|in der|zum|zur) \p{L}+ [0-9]"
-    r"|[0-9],? (?:bis |ter )?(?:rue|avenue|av|bd|boulevard|impasse|place|chemin|allée|quai|route|cours|square|passage)\b|[0-9] (?:bis|ter)\b|\b(?:calle|avenida|avda|plaza|pza|paseo|camino|carrera|travesía|ronda|glorieta)\b|\bc/|[路街巷道里弄同] ?[0-9０-９]|丁目|[り町区市丁] ?[0-9０-９]"
-    r"|(?m:^[ \t]*(?-i:\p{Lu}[\p{L}'’\-]+,?|\p{Lu}\.) +(?-i:\p{Lu}[\p{L}'’\-]+)[ \t]*$)|(?m:^[ \t]*[\x{4E00}-\x{9FFF}]{2,6}[ \t]*$)"
+#: A trace that every candidate leaves, for RE2; texts without one are not looked at. It is built from the forms above without
+#: their surroundings, so that it is wider than each. Its \b knows ASCII letters only, which makes it wider still.
+_LETTER, _KANJI = r"[\p{L}\p{Nl}\p{No}]", "[一-鿿ヶ々]"
+_CAP = rf"(?-i:[A-ZÀ-Þ](?:{_LETTER}|['’\-])+)"
+TRACE = "(?i)" + "|".join(
+    [
+        r"@",
+        r"(?:[\[({<] ?at ?[\])}>]| at ) ?[a-z0-9\-]+(?: ?[\[({] ?dot ?[\])}]| dot |\.[a-z0-9\-])",
+        r"\p{Nd}(?:[ .\-/()]{0,2}\p{Nd}){6}|[a-z]\p{Nd}{2}[a-z]\p{Nd}{4}",
+        # leads and trails of names, titles, a name that fills its line
+        r"my name is|i am called|regards,|sincerely,|wishes,|yours,|\bask\b|ich heiße|mein name ist|grüße,|gruß,|\bfrag\b|m'appelle|cordialement,|demande à|me llamo|mi nombre es|saludos,|atentamente,|pregunta a",
+        r"has seen|already saw|about the rest|for the rest|nach dem rest|pour le reste|por lo demás|hat (?:den|schon|bereits)|a déjà|ya (?:vio|ha)|has read|昨天",
+        rf"(?-i:\b{_TITLE}\.? +[A-ZÀ-Þ])",
+        rf"(?m:^[ \t\-*>·]*(?:{_CAP}|(?-i:[A-ZÀ-Þ]\.)),? +(?:{_CAP}|(?-i:[A-ZÀ-Þ]\.))[ \t.。]*$)",
+        rf"我叫|我是|此致|可以问|已经看|看过|先生|女士|さん|より|と申|[様氏][にがはをの、。]|(?:私|残り|担当)は{_KANJI}|(?m:^[ \t]*{_KANJI}{{2,}}(?: {_KANJI}{{1,3}})?[ \t]*$)",
+        # streets, form by form
+        rf"\p{{Nd}}[a-z]?,? (?:[NSEW]\. )?[\p{{L}}×÷'’\- ]+ (?:Road|Rd|Street|St|Avenue|Ave|Lane|Ln|Blvd|Boulevard|Drive|Dr|Court|Ct|Place|Pl|Way|Square|Sq|Terrace|Close|Hill|Row|Walk)\b",
+        rf"(?:straße|strasse|str\.|gasse|weg|platz|allee|winkel|brink|ufer|damm|ring|steig|chaussee|hof|stieg) \p{{Nd}}|\b(?:am|an der|an den|im|in der|auf dem|zum|zur) {_LETTER}+ \p{{Nd}}",
+        r"\p{Nd}(?: ?(?:bis|ter))?,? (?:rue|avenue|av|bd|boulevard|impasse|place|chemin|allée|quai|route|cours|square|passage)\b",
+        rf"(?:calle|c/|avenida|avda|av\.|plaza|pza|paseo|p\.º|camino|carrera|travesía|ronda|glorieta)(?:{_LETTER}|[., ])*\p{{Nd}}",
+        r"[路街巷道里弄同] ?\p{Nd}|(?:通り|町|丁|区|市)[一-鿿ぁ-ん]{0,4} ?\p{Nd}",
+    ]
 )
+_PLAIN = _THIN | {0x130: 0x69, 0x131: 0x69}  # re.I takes these for i, RE2 doesn't
+_UNPLAIN = "[" + "".join(rf"\x{{{c:X}}}" for c in _PLAIN) + "]"
+
+
+def traced(words: list[tuple[str, str, str]]):
+    """A function that tells which texts of an Arrow array can hold a candidate, given the name lexicon."""
+    any_of = lambda lang, part: "|".join(re.escape(w) for w, p, at in words if w and at == lang and p == part)
+    parts = [TRACE]
+    for w, _, lang in words:
+        w = (w or "").translate(_PLAIN) if lang not in ("zh", "ja") else w
+        if w and (lang not in ("zh", "ja") or len(w) > 1):
+            form = re.escape(w.replace("’", "'")).replace("'", "['’]")
+            parts.append(rf"\b{form}\b" if lang not in ("zh", "ja") and w[0].isascii() and w[-1].isascii() else form)
+    if giv := any_of("zh", "given"):  # names of one character count next to what makes them names
+        fam = any_of("zh", "family")
+        parts.append(f"(?:{_ZH_DOUBLE}|[{_ZH_SURNAMES}]{'|' + fam if fam else ''})(?:{giv})")
+    if giv := any_of("ja", "given"):
+        parts.append(f"{_KANJI} ?(?:{giv})")
+    if fam := any_of("ja", "family"):
+        parts.append(rf"(?:{fam}) ?{_KANJI}{{1,3}}(?:さん|様|氏|より|と申|[\s\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}。、]|$)")
+    trace = "|".join(parts)
+
+    def hits(texts: pa.Array) -> pa.Array:
+        odd = pc.fill_null(pc.match_substring_regex(texts, _UNPLAIN), False)
+        if odd.true_count:
+            texts = pa.array([t.translate(_PLAIN) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist())], pa.string())
+        return pc.fill_null(pc.match_substring_regex(texts, trace), False)
+
+    return hits
 
 
 def _words(names: DataFrame, limit: int = 200_000) -> list[tuple[str, str, str]]:
@@ -382,14 +425,13 @@ def detect(records: DataFrame, names: DataFrame, masked: bool = False) -> DataFr
     empty result. `names` (word, name_part, lang) is shipped with the task and must stay under a stated number of rows.
     """
     words = _words(names)
-    edge = lambda w: rf"\b{re.escape(w)}\b" if w[0].isascii() and w[-1].isascii() else re.escape(w)
-    trace = "|".join([TRACE, *(re.escape(w) if lang in ("zh", "ja") else edge(w) for w, _, lang in words if w and (lang not in ("zh", "ja") or len(w) > 1))])
     made: dict[int, Field] = {}
 
     def run(batches):
         field = made.setdefault(0, Field(words))
+        hits = traced(words)
         for b in batches:
-            hit = pc.fill_null(pc.match_substring_regex(b.column(2), trace), False)
+            hit = hits(b.column(2))
             if masked:
                 texts = [mask(t, field.spans(t)) if h else t for t, h in zip(b.column(2).to_pylist(), hit.to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["field", "record_key", "text"])

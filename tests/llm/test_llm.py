@@ -9,6 +9,7 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,6 +102,31 @@ def test_pii_skip_links_join_distant_mentions():
     assert len(linked) >= 1 and len(linked) >= len(alone)
 
 
+STREETS = ["14 Orchard Close", "27 Station Way", "3 Willow Walk", "12 Elm Ct, Dayton", "88 Market Sq", "5 Birch Pl.", "18 Maple Dr, Ohio", "Auf dem Hügel 12", "An den Eichen 5", "12bis rue des Lilas", "東京都中央区銀座4-2-11", "Hauptstraße\u00a012"]
+PHONES = ["Call me on +44\u00a020\u00a07946\u00a00422", "Tel. 600\u202f000\u202f668", "Call 0171\u20114458\u20111290"]
+
+
+def test_pii_filter_lets_all_forms_through(spark):
+    texts = [(t, "address") for t in STREETS] + [(t, "phone") for t in PHONES] + [("Nadia Corbeau already saw it.", "name")]
+    rec = spark.createDataFrame([("f", str(i), t) for i, (t, _) in enumerate(texts)], "field string, record_key string, text string")
+    names = spark.createDataFrame(WORDS, "word string, name_part string, lang string")
+    got = {(int(r.record_key), r.pii_type) for r in pii.detect(rec, names).collect()}
+    assert got == {(i, k) for i, (_, k) in enumerate(texts)}
+    masked = {int(r.record_key): r.text for r in pii.detect(rec, names, masked=True).collect()}
+    assert all("[" in masked[i] for i in range(len(texts)))
+
+
+_FIELD, _HITS = pii.Field(WORDS), pii.traced(WORDS)
+PIECES = STREETS + PHONES + [t for t, _ in PII if t and len(t) < 200] + "Mr Mx Señora Don Doña M Fr. Herrn Ashgrove Corwin Stone O’Brien D. 沈 安 念安 柳 霧島 千歳 千 様 に さん より 我是 已经看 看过 昨天已 昨天 号 路 区 丁目 at AT {at} [at] dot . , - * > · 7 12 12b 1234567 ４５ a12b3456 bis ter rue Av. av C/ P.º n.º Am Im Zum Weg str. St Way Hill already saw has read pour le reste hat bereits yours, ask frag".split() + ["\n", "  ", "\u00a0", "\u3000", "\u2011"]
+
+
+@given(st.lists(st.sampled_from(PIECES), min_size=1, max_size=7), st.sampled_from(["", " ", "  ", "\n", "\u00a0"]))
+@settings(max_examples=1500, deadline=None)
+def test_pii_every_text_with_a_node_passes_the_filter(pieces, sep):
+    t = sep.join(pieces)
+    assert not _FIELD.nodes(t.translate(pii._THIN)) or _HITS(pa.array([t]))[0].as_py(), t
+
+
 # --- 2: pairs ----------------------------------------------------------------------------------------------------------
 LONG = "The answer takes the cache into account and then the index. It is best to look at both."
 PAIRS = [
