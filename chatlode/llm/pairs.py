@@ -21,7 +21,7 @@ from chatlode.functions.text import blank, role
 from chatlode.llm.conversations import _tables, components, validate
 from chatlode.llm.language import language
 from chatlode.operators.timestamps import normalize_timestamps
-from chatlode.session import checkpointed
+from chatlode.session import checkpointed, small
 
 SALT = 16
 LANGS = ("en", "de", "fr", "es", "zh", "ja")
@@ -126,15 +126,16 @@ def opening(t: str) -> str | None:
     if not any(h in low for h in _DECLINE_HINTS):
         return None  # no template of this kind reveals a refusal
     t = t.replace("’", "'")
-    if len(t) > 320 or "```" in t or "\n|" in t or re.search(r"\n[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]", t):
+    if "```" in t or "\n|" in t or re.search(r"\n[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]", t):
         return None
     t = re.sub(r"^\*\*[^*\n]+\*\*\s*", "", t)
-    parts = [x.strip() for x in _SENT.findall(re.sub(r"(?<=\w)\.(?=\w)", "·", t)) if x.strip()]
-    if not parts or len(parts) > 4:
-        return None
-    rest = [x for x in parts if not DECLINE.search(x) and not _COURTESY.match(x)]
-    if len(rest) < len(parts) and sum(sum(map(str.isalnum, x)) * (2 if ord(max(x)) > 0x2E7F else 1) for x in rest) > 24:
-        return None  # it declines in passing and then answers
+    rest = 0
+    for m in _SENT.finditer(re.sub(r"(?<=\w)\.(?=\w)", "·", t)):
+        x = m.group(0).strip()
+        if x and not DECLINE.search(x) and not _COURTESY.match(x):
+            rest += sum(map(str.isalnum, x)) * (2 if ord(max(x)) > 0x2E7F else 1)
+            if rest > 24:
+                return None  # it answers, and declines in passing if at all
     return _CODE.sub("#", t).lower().strip()
 
 
@@ -317,8 +318,10 @@ def defects(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame, recurs:
     item = r"(?m)^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+([^\r\n]+?)[ \t]*\r?\n"
     items = messages.where(role(F.col("role")) == "assistant").select(F.explode(F.regexp_extract_all("text", F.lit(item), 1)).alias("known")).groupBy(F.lower("known").alias("known")).agg(F.count("*").alias("n"))
     known = items.select("known", F.lit(True).alias("whole"))
-    cut = items.where(F.length("known") <= 400).select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("known") - 1, F.lit(1))), lambda i: F.rtrim(F.substring(F.col("known"), F.lit(1), i)))).alias("known")).distinct().select("known", F.lit(True).alias("begun"))
-    last = ex.where("last_item is not null").select(F.col("last_item").alias("known")).distinct()
+    last = checkpointed(ex.where("last_item is not null").select(F.col("last_item").alias("known")).distinct())
+    lengths = last.agg(F.collect_set(F.length("known")).alias("lengths"))  # items of any length are cut at these only
+    cut = items.crossJoin(F.broadcast(lengths)).select(F.explode(F.transform(F.filter("lengths", lambda i: i < F.length("known")), lambda i: F.substring(F.col("known"), F.lit(1), i))).alias("known"))
+    cut = cut.join(small(last), "known", "left_semi").distinct().select("known", F.lit(True).alias("begun"))
     judged = last.join(known, "known", "left").join(cut, "known", "left").where("whole is null and begun").select(F.col("known").alias("last_item"), F.lit(True).alias("item_cut"))
 
     # Templates of the openings, and the prompts each of them answers.

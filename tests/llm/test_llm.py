@@ -154,6 +154,17 @@ def test_pair_defects(spark, zones):
     assert pairs.defects(m.where("false"), *zones).count() == 0
 
 
+def test_pair_refusals_and_cut_items_of_any_length(spark, zones):
+    no = "I can't help with the request about the cache, since it is against my rules to speak of it here"
+    longer = " ".join([no + "."] * 5)
+    item = "the step takes the cache and then the index of the build " * 9 + "to the end"
+    rows = [x for i, q in enumerate(["What about the index?", "And the parser, what about it?", "Is the loop the cause of it?"]) for x in ((f"c{i}", 0, "user", q), (f"c{i}", 1, "model", longer))]
+    rows += [("d", 0, "user", "Which steps does the build take?"), ("d", 1, "model", f"Steps:\n- {item}\n- the second is the last."), ("e", 0, "user", "And which of them are first?"), ("e", 1, "model", f"Steps:\n- the first is short\n- {item[:470].strip()}")]
+    assert len(longer) > 320 and len(item) > 480
+    got = {r.response_id: r.defect for r in pairs.defects(messages(spark, rows), *zones).collect()}
+    assert got == {2: "refusal", 4: "refusal", 6: "refusal", 10: "truncated"}
+
+
 def test_languages():
     assert [language(t)[0] for t in ("The cat is on the table.", "Die Katze ist auf dem Tisch.", "Le chat est sur la table.", "El gato está en la mesa.", "猫在桌子上面，它不想下来。", "猫はテーブルの上にいます。", "```\nx\n```")] == ["en", "de", "fr", "es", "zh", "ja", None]
 
