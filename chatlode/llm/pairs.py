@@ -289,14 +289,18 @@ def _signatures(batches, bands: int = 20, rows: int = 4):
 def templates(openings: DataFrame, least: float = 0.8) -> DataFrame:
     """o, cluster of distinct `openings` (o long, opening string): MinHash candidates over character 5-grams, each verified
     to a Jaccard similarity of `least`, joined to clusters. Buckets are met through their smallest member, so a hot bucket
-    of n openings gives n pairs, not n squared; what a bucket's centre does not verify meets again in its other bands."""
-    bands = openings.mapInArrow(_signatures, "o long, opening string, band long")
-    centre = bands.groupBy("band").agg(F.min(F.struct("o", "opening")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    near = bands.join(centre, "band").where("o <> c.o").select("o", "opening", F.col("c.o").alias("p"), F.col("c.opening").alias("other")).distinct()
+    of n openings alike gives n pairs, not n squared; only a member that this centre does not verify meets all others."""
+    bands = checkpointed(openings.mapInArrow(_signatures, "o long, opening string, band long"))
     gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 4, F.lit(1))), lambda i: F.substring(c, i, F.lit(5))))
     a, b = gram(F.col("opening")), gram(F.col("other"))
     both = F.size(F.array_intersect(a, b))
-    links = near.where(both / (F.size(a) + F.size(b) - both) >= least).select(F.col("o").alias("u"), F.col("p").alias("v"))
+    verified = lambda near: near.distinct().where(both / (F.size(a) + F.size(b) - both) >= least).select(F.col("o").alias("u"), F.col("p").alias("v"))
+    centre = bands.groupBy("band").agg(F.min(F.struct("o", "opening")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    met = bands.join(centre, "band").where("o <> c.o").select("band", "o", "opening", F.col("c.o").alias("p"), F.col("c.opening").alias("other"), "n")
+    links = checkpointed(verified(met.select("o", "opening", "p", "other")))
+    lone = met.where("n > 2").join(links, (F.col("o") == F.col("u")) & (F.col("p") == F.col("v")), "left_anti").select("band", "o", "opening", F.col("p").alias("centre"))
+    rest = lone.join(bands.select("band", F.col("o").alias("p"), F.col("opening").alias("other")), "band").where("p <> o and p <> centre")
+    links = links.union(verified(rest.select("o", "opening", "p", "other")))
     return components(links.union(openings.select(F.col("o").alias("u"), F.col("o").alias("v")))).select(F.col("node").alias("o"), F.col("component").alias("cluster"))
 
 
@@ -304,7 +308,7 @@ def defects(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame, recurs:
     """response_id, defect of each defective response, at most one each, in this order: empty, truncated, refusal, copy, wrong_language.
 
     A refusal is a response that holds only a statement which declines, and whose template (cluster of openings) recurs over
-    `recurs` prompts or more, or declines in every word. Null and blank texts are empty unless there are attachments. A
+    `recurs` prompts or more or which has under 160 characters: one so short has no room for an answer besides. Null and blank texts are empty unless there are attachments. A
     prompt that is blank has no language and no copy. Conversations that are broken, and rows without a conversation, are left out.
     """
     rows = checkpointed(featured(messages, sources, abbrevs))

@@ -165,6 +165,26 @@ def test_pair_refusals_and_cut_items_of_any_length(spark, zones):
     assert got == {2: "refusal", 4: "refusal", 6: "refusal", 10: "truncated"}
 
 
+def test_templates_compare_all_members_of_a_bucket(spark):
+    """Among these openings are two alike that meet only under a centre that is like neither."""
+    rng = random.Random(9)
+    base = sorted({"for # i have to pass: giving advice on the " + "".join(rng.choices("abcd ", k=rng.randrange(6, 26))) + " is not something i can do here." for _ in range(12)})
+    texts = [x for t in base for x in (t, t + " sorry")]
+    rng.shuffle(texts)
+    buckets = {}
+    for r in next(pairs._signatures([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["o", "opening"])])).to_pylist():
+        buckets.setdefault(r["band"], set()).add(r["o"])
+    grams = [pairs._grams(t) for t in texts]
+    want = list(range(len(texts)))
+    for b in buckets.values():
+        for x, y in itertools.combinations(b, 2):
+            if len(grams[x] & grams[y]) / len(grams[x] | grams[y]) >= 0.8:
+                want = [min(want[x], want[y]) if w in (want[x], want[y]) else w for w in want]
+    got = {r.o: r.cluster for r in pairs.templates(spark.createDataFrame(list(enumerate(texts)), "o long, opening string")).collect()}
+    same = lambda c: {(x, y) for x in range(len(texts)) for y in range(x) if c[x] == c[y]}
+    assert same(got) == same(want)
+
+
 def test_languages():
     assert [language(t)[0] for t in ("The cat is on the table.", "Die Katze ist auf dem Tisch.", "Le chat est sur la table.", "El gato está en la mesa.", "猫在桌子上面，它不想下来。", "猫はテーブルの上にいます。", "```\nx\n```")] == ["en", "de", "fr", "es", "zh", "ja", None]
 
