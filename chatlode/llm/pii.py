@@ -307,7 +307,7 @@ class Field:
         if len(nodes) > 1:
             seen: dict[str, int] = {}
             for i, (a, b, _) in enumerate(nodes):
-                for w in {w for w in re.findall(r"[^\W\d_]{3,}|\d{6,}", t[a:b].lower())} if len(nodes) < 400 else ():
+                for w in {w for w in re.findall(r"[^\W\d_]{3,}|\d{6,}", t[a:b].lower())}:
                     if w in seen:  # each distinctive word links a mention with the one before that holds it
                         edges[(seen[w], i)] = SKIP
                     seen[w] = i

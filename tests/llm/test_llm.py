@@ -127,6 +127,17 @@ def test_pii_every_text_with_a_node_passes_the_filter(pieces, sep):
     assert not _FIELD.nodes(t.translate(pii._THIN)) or _HITS(pa.array([t]))[0].as_py(), t
 
 
+def test_pii_skip_links_at_any_number_of_mentions():
+    """A weak mention that a strong one repeats, behind 397 and 399 others."""
+    f = pii.Field([])
+    got = []
+    for n in (397, 399):
+        t = "My name is Corwin Ashgrove. " + "x1@example.org " * n + "and so on " * 9 + "\nCorwin Ashgrove\n"
+        assert len(f.nodes(t)) == n + 2
+        got.append([t[a:b] for a, b, k in f.spans(t) if k == "name"])
+    assert got == [["Corwin Ashgrove"] * 2] * 2
+
+
 # --- 2: pairs ----------------------------------------------------------------------------------------------------------
 LONG = "The answer takes the cache into account and then the index. It is best to look at both."
 PAIRS = [
