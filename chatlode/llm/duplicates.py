@@ -9,6 +9,8 @@ continues over a partition's end is mended with the first records of the partiti
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,11 +39,11 @@ def with_record_key(df: DataFrame, text: Column) -> DataFrame:
 _OUT = "pid int, first_id string, copy_id string, first_long long, copy_long long, kind string, key string, digest long, head boolean, edge boolean"
 
 
-def _scan(batches):
+def _scan(batches, every=False):
     """Runs of equal (digest, kind, key) among the sorted rows of one partition.
 
     Gives a row for every record but the first of its run, and for the first records of the partition's first and last
-    runs (`edge`). Rows of the first run are marked `head`: it may have begun in an earlier partition.
+    runs (`edge`); with `every` also for the first of each run. Rows of the first run are marked `head`: it may have begun in an earlier partition.
     """
     from pyspark import TaskContext
 
@@ -69,7 +71,7 @@ def _scan(batches):
         if edge_first:
             head_runs[1] = True
         firsts = np.concatenate([[-1], starts])[run + 1]
-        emit = ~new
+        emit = np.ones(n, bool) if every else ~new
         if edge_first:
             emit[0] = True
         idx = np.flatnonzero(emit)
@@ -95,22 +97,22 @@ def _scan(batches):
         yield pa.RecordBatch.from_pylist([{"pid": pid, "first_id": last[3], "copy_id": last[3], "first_long": last[4], "copy_long": last[4], "kind": last[1], "key": last[2], "digest": last[0], "head": False, "edge": True}], schema=schema)
 
 
-def collapse(records: DataFrame) -> DataFrame:
+def collapse(records: DataFrame, every: bool = False) -> DataFrame:
     """kind, first record and copy record of every copy in `records` (kind string, key string, rec string, rec_long long).
 
     Records with equal (kind, key) are one group; its first record is the smallest by (rec_long, rec), rec_long being
     null for all or none of a kind. Rows with a null key are no records. Repeated (kind, key, rec) rows count as copies
-    of each other. An empty table gives an empty result.
+    of each other. An empty table gives an empty result. With `every` the first records are given too, as their own copies.
     """
     keyed = records.where(F.col("key").isNotNull()).select(F.xxhash64("kind", "key").alias("digest"), "kind", "key", "rec", "rec_long")
     order = ["digest", "kind", "key", "rec_long", "rec"]
-    runs = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, _OUT)
+    runs = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_scan, every=every), _OUT)
     runs = checkpointed(runs)  # copies and two rows a partition; the shuffle behind it runs once
     edges = runs.where("edge").groupBy("digest", "kind", "key").agg(F.min(F.struct("first_long", "first_id")).alias("true"), F.count("*").alias("parts")).where("parts > 1").select(F.col("digest").alias("e_digest"), F.col("kind").alias("e_kind"), F.col("key").alias("e_key"), "true")
     edges = small(edges)
     inner = runs.where("not head and not edge").select("kind", F.col("first_id").alias("first_rec"), F.col("copy_id").alias("copy_rec"))
     head = runs.where("head").join(edges, (F.col("digest") == F.col("e_digest")) & F.col("kind").eqNullSafe(F.col("e_kind")) & (F.col("key") == F.col("e_key")), "left")
-    head = head.withColumn("first_rec", F.coalesce("true.first_id", "first_id")).where(F.col("first_rec") != F.col("copy_id")).select("kind", "first_rec", F.col("copy_id").alias("copy_rec"))
+    head = head.withColumn("first_rec", F.coalesce("true.first_id", "first_id")).where(F.lit(every) | (F.col("first_rec") != F.col("copy_id"))).select("kind", "first_rec", F.col("copy_id").alias("copy_rec"))
     return inner.union(head)
 
 
@@ -135,6 +137,19 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     return collapse(records).select(F.element_at(F.split("kind", " "), 1).alias("record_kind"), F.col("first_rec").alias("first_key"), F.col("copy_rec").alias("copy_key"))
 
 
+def every_record(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Records of all messages and all conversation rows, repeated ones too. Texts without anything that a key keeps are alone,
+    ids without are told apart as they are."""
+    m = messages.select(F.concat(F.lit("message "), F.coalesce(role(F.col("role")), F.lit(""))).alias("kind"), F.col("id").cast("string").alias("rec"), F.col("id").alias("rec_long"), "text")
+    m = with_record_key(m, F.col("text")).select("kind", F.when(F.length("key") > 0, F.col("key")).otherwise(F.concat(F.lit("\u0000"), "rec")).alias("key"), "rec", "rec_long")
+    c = with_one_width(conversations.select(F.col("conversation_id").alias("rec")), "wide", F.col("rec"))
+    c = bound(c, "key", letters_key(F.col("wide")))
+    c = c.select(F.lit("conversation").alias("kind"), F.when(F.length("key") > 0, F.col("key")).otherwise(F.concat(F.lit("\u0000"), F.coalesce("rec", F.lit("\u0000")))).alias("key"), "rec", F.lit(None).cast("long").alias("rec_long"))
+    return m.unionByName(c)
+
+
 def p5_counts(spark, sf_dir: str) -> DataFrame:
-    """One representative of each group of copies and the exact number of its copies, itself included."""
-    return p5_found(spark, sf_dir).groupBy("record_kind", "first_key").agg((F.count("*") + 1).alias("copies"))
+    """The collapsed messages and conversations: the first record of each group, alone or not, and the exact number of its
+    copies, itself included. Every row of the two tables counts once."""
+    all_ = collapse(every_record(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations")), every=True)
+    return all_.groupBy(F.element_at(F.split("kind", " "), 1).alias("record_kind"), F.col("first_rec").alias("first_key")).agg(F.count("*").alias("copies"))

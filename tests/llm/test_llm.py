@@ -266,6 +266,14 @@ def test_duplicates_runs_over_partitions(spark):
     assert duplicates.collapse(df.where("false")).count() == 0
 
 
+def test_duplicate_counts_hold_every_row(spark, tmp_path):
+    texts = ["Short one.", "short  ONE", "alone", None, "", "!!", None] + ["a longer text that many have"] * 3000
+    messages(spark, [("c", i, "user", t) for i, t in enumerate(texts)]).repartition(5).write.parquet(f"{tmp_path}/messages.parquet")
+    spark.createDataFrame([("ab-1",), ("AB 1",), ("ab-1",), ("--",), ("--",), (None,)], "conversation_id string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in duplicates.p5_counts(spark, str(tmp_path)).select("record_kind", "first_key", "copies").collect()}
+    assert got == {("message", "1", 2), *(("message", str(i), 1) for i in (3, 4, 5, 6, 7)), ("message", "8", 3000), ("conversation", "AB 1", 3), ("conversation", "--", 2), ("conversation", None, 1)}
+
+
 def test_duplicates_nulls(spark):
     m = spark.createDataFrame([(1, None, None, 1), (2, "user", "", 1), (3, "user", '{"a": 1, "a": 2}' + "x" * 70, 1), (4, None, "y" * 20_000, 1), (5, None, "Y" * 20_000, 1)], "id long, role string, text string, key int")
     assert [(r.first_rec, r.copy_rec) for r in duplicates.collapse(duplicates.message_records(m)).collect()] == [("4", "5")]
