@@ -291,16 +291,27 @@ def templates(openings: DataFrame, least: float = 0.8) -> DataFrame:
     to a Jaccard similarity of `least`, joined to clusters. Buckets are met through their smallest member, so a hot bucket
     of n openings alike gives n pairs, not n squared; only a member that this centre does not verify meets all others."""
     bands = checkpointed(openings.mapInArrow(_signatures, "o long, opening string, band long"))
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 4, F.lit(1))), lambda i: F.substring(c, i, F.lit(5))))
-    a, b = gram(F.col("opening")), gram(F.col("other"))
-    both = F.size(F.array_intersect(a, b))
-    verified = lambda near: near.distinct().where(both / (F.size(a) + F.size(b) - both) >= least).select(F.col("o").alias("u"), F.col("p").alias("v"))
+
+    def alike(batches):
+        for b in batches:
+            memo: dict[str, set[str]] = {}
+            keep = []
+            for x, y in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
+                p, q = (memo.get(t) or memo.setdefault(t, _grams(t)) for t in (x, y))
+                both = len(p & q) if min(len(p), len(q)) >= least * max(len(p), len(q)) else 0
+                keep.append(both / (len(p) + len(q) - both) >= least)
+            b = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["u", "v"])
+
+    verified = lambda near: checkpointed(near.distinct().mapInArrow(alike, "u long, v long"))
     centre = bands.groupBy("band").agg(F.min(F.struct("o", "opening")).alias("c"), F.count("*").alias("n")).where("n > 1")
     met = bands.join(centre, "band").where("o <> c.o").select("band", "o", "opening", F.col("c.o").alias("p"), F.col("c.opening").alias("other"), "n")
-    links = checkpointed(verified(met.select("o", "opening", "p", "other")))
+    links = verified(met.select("o", "opening", "p", "other"))
     lone = met.where("n > 2").join(links, (F.col("o") == F.col("u")) & (F.col("p") == F.col("v")), "left_anti").select("band", "o", "opening", F.col("p").alias("centre"))
     rest = lone.join(bands.select("band", F.col("o").alias("p"), F.col("opening").alias("other")), "band").where("p <> o and p <> centre")
-    links = links.union(verified(rest.select("o", "opening", "p", "other")))
+    one, two = F.struct("o", "opening"), F.struct(F.col("p").alias("o"), F.col("other").alias("opening"))
+    rest = rest.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).select("a.o", "a.opening", F.col("b.o").alias("p"), F.col("b.opening").alias("other"))
+    links = links.union(verified(rest))
     return components(links.union(openings.select(F.col("o").alias("u"), F.col("o").alias("v")))).select(F.col("node").alias("o"), F.col("component").alias("cluster"))
 
 
