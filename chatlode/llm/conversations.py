@@ -93,54 +93,69 @@ def threads(messages: DataFrame, light: DataFrame, catch_all: str = CATCH_ALL) -
     return components(edges).select(F.col("node").alias("id"), F.col("component").alias("thread"))
 
 
-_PART = "pid int, conversation_id string, seq int, n long, n_idx long, lo long, hi long, twice boolean, blank boolean, first_who int, last_who int, miss boolean, first_idx long, last_idx long"
+PART = "pid int, conversation_id string, seq int, n long, n_idx long, lo long, hi long, twice boolean, blank boolean, first_who int, last_who int, miss boolean, first_idx long, last_idx long"
 
 
-def _parts(batches):
-    """One summary of each conversation part among the sorted rows of one partition."""
-    from pyspark import TaskContext
+def arrow_schema(columns: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
 
-    pid, seq, cur, out = TaskContext.get().partitionId(), 0, None, []
-    names = [x.split()[0] for x in _PART.split(", ")]
-    schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[x.split()[1]]) for n, x in zip(names, _PART.split(", "))])
 
-    def flush(rows):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), schema.field(i).type) for i, c in enumerate(zip(*rows))], schema=schema)
+class Parts:
+    """Summaries of the conversation parts among the sorted rows of one partition, batch by batch."""
 
-    for b in batches:
-        n = b.num_rows
+    names = [c.split()[0] for c in PART.split(", ")]
+
+    def __init__(self, pid: int):
+        self.pid, self.seq, self.cur = pid, 0, None
+
+    def add(self, b: pa.RecordBatch) -> list[tuple]:
+        """The parts that end before the last one of batch `b` (conversation_id, idx, who, empty)."""
+        n, out = b.num_rows, []
         if not n:
-            continue
+            return out
         conv = b.column("conversation_id").dictionary_encode()
-        codes, words = conv.indices.to_numpy(zero_copy_only=False), conv.dictionary.to_pylist()
-        idx = b.column("idx").to_pandas().to_numpy(dtype=float, na_value=np.nan)
-        who, bl = b.column("who").to_numpy(), b.column("empty").to_numpy(zero_copy_only=False)
+        codes = conv.indices.to_numpy(zero_copy_only=False)
+        words = conv.dictionary.to_pylist()
+        col = b.column("idx")
+        idx = col.fill_null(0).to_numpy(zero_copy_only=False)
+        has = col.is_valid().to_numpy(zero_copy_only=False)
+        who, bl = b.column("who").to_numpy(zero_copy_only=False), b.column("empty").to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        for s, t in zip(cuts, np.r_[cuts[1:], n]):
-            ix, w = idx[s:t], who[s:t]
-            ix = ix[~np.isnan(ix)]
+        for s, t in zip(cuts.tolist(), np.r_[cuts[1:], n].tolist()):
+            ix, w = idx[s:t][has[s:t]], who[s:t]
             talk = w[(w == 1) | (w == 2)]
             part = {
-                "pid": pid, "conversation_id": words[codes[s]], "seq": seq, "n": int(t - s), "n_idx": len(ix),
+                "pid": self.pid, "conversation_id": words[codes[s]], "seq": self.seq, "n": t - s, "n_idx": len(ix),
                 "lo": int(ix.min()) if len(ix) else None, "hi": int(ix.max()) if len(ix) else None,
                 "twice": bool((ix[1:] == ix[:-1]).any()), "blank": bool(bl[s:t].all()),
                 "first_who": int(talk[0]) if len(talk) else None, "last_who": int(talk[-1]) if len(talk) else None,
                 "miss": bool(((talk[:-1] == 1) & (talk[1:] == 1)).any()),
                 "first_idx": int(ix[0]) if len(ix) else None, "last_idx": int(ix[-1]) if len(ix) else None,
             }
-            if cur is not None and cur["conversation_id"] == part["conversation_id"]:
-                cur = fold(cur, part)
+            if self.cur is not None and self.cur["conversation_id"] == part["conversation_id"]:
+                self.cur = fold(self.cur, part)
             else:
-                if cur is not None:
-                    out.append(tuple(cur[k] for k in names))
-                seq += 1
-                cur = part
-        if len(out) > 5000:
+                out += self.close()
+                self.seq += 1
+                self.cur = part
+        return out
+
+    def close(self) -> list[tuple]:
+        cur, self.cur = self.cur, None
+        return [] if cur is None else [tuple(cur[k] for k in self.names)]
+
+
+def _parts(batches):
+    """One summary of each conversation part among the sorted rows of one partition."""
+    from pyspark import TaskContext
+
+    parts, schema = Parts(TaskContext.get().partitionId()), arrow_schema(PART)
+    flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    for b in batches:
+        if out := parts.add(b):
             yield flush(out)
-            out = []
-    if cur is not None:
-        out.append(tuple(cur[k] for k in names))
-    if out:
+    if out := parts.close():
         yield flush(out)
 
 
@@ -175,7 +190,11 @@ def validate(light: DataFrame) -> DataFrame:
     empty: every text blank and no attachments. broken: indexes partly null, or not 0, 1, 2, … each once. missing_reply: a
     user row with no assistant row before the next user row or the end. The first that holds counts.
     """
-    parts = ordered(light.withColumn("empty", F.col("is_blank") & ~F.col("has_files"))).select("conversation_id", "idx", "who", "empty").mapInArrow(_parts, _PART)
+    return verdicts(ordered(light.withColumn("empty", F.col("is_blank") & ~F.col("has_files"))).select("conversation_id", "idx", "who", "empty").mapInArrow(_parts, PART))
+
+
+def verdicts(parts: DataFrame) -> DataFrame:
+    """conversation_id, defect of each conversation from the summaries of its parts."""
     # Parts of a conversation: one per partition it reaches into, at most the number of partitions.
     runs = parts.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("pid", "seq", "n", "n_idx", "lo", "hi", "twice", "blank", "first_who", "last_who", "miss", "first_idx", "last_idx"))).alias("p"))
     p = F.col("p")

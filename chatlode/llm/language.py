@@ -11,7 +11,13 @@ WORDS = {
     "fr": "en l'art surtout concerne courte reste première premier d'un d'une n'est j'ai qu'on le la les des et est une un du que qui dans pour pas je il ce sur avec au aux plus ne se ou mon ma mes par comment pourquoi peux tu votre nous vous c'est d'abord qu'il cette son sa été être sont mais si comme",
     "es": "primero trata todo sigue va sea tan el los las y es una un que en de la por para con no se del al lo su como más mi qué cómo por puedes puede si está esta este pero yo sobre antes entre hay ser son fue muy porque donde cuando ya o",
 }
-_SETS = {k: set(v.split()) for k, v in WORDS.items()}
+#: Languages of each word, as a tuple of places in WORDS.
+_OF: dict[str, tuple[int, ...]] = {}
+for _i, _v in enumerate(WORDS.values()):
+    for _w in set(_v.split()):
+        _OF[_w] = (*_OF.get(_w, ()), _i)
+_NAMES = tuple(WORDS)
+_WIDE = re.compile(r"[぀-ヿ一-鿿]")
 _TOKEN = re.compile(r"[a-zà-öø-ÿßœ]+(?:'[a-zà-öø-ÿ]+)?")
 _KANA = re.compile(r"[぀-ヿ]+")
 _HAN = re.compile(r"[一-鿿]+")
@@ -27,15 +33,20 @@ def language(text: str) -> tuple[str | None, float]:
         t = _SPAN.sub(" ", t)
     low = t.lower()
     tokens = _TOKEN.findall(low)
-    if not t.isascii():
+    if not t.isascii() and _WIDE.search(t):
         kana, han = sum(map(len, _KANA.findall(t))), sum(map(len, _HAN.findall(t)))
-        if han + kana and (han + kana) * 3 >= sum(map(len, tokens)):
+        if (han + kana) * 3 >= sum(map(len, tokens)):
             return ("ja", kana) if kana * 6 >= han else ("zh", han / 8)  # a few characters can be either
     if not tokens:
         return None, 0
-    score = {k: float(sum(map(known.__contains__, tokens))) for k, known in _SETS.items()}
+    score = [0.0] * len(_NAMES)
+    for of in map(_OF.get, tokens):
+        if of:
+            for k in of:
+                score[k] += 1
     if not low.isascii():
         for marks, k in _MARKS:
-            score[k] += 0.5 * sum(map(low.count, marks))
-    (a, x), (_, y) = sorted(score.items(), key=lambda kv: -kv[1])[:2]
-    return (a, x - y) if x > y else (None, 0)
+            score[_NAMES.index(k)] += 0.5 * sum(map(low.count, marks))
+    x = max(score)
+    y = sorted(score)[-2]
+    return (_NAMES[score.index(x)], x - y) if x > y else (None, 0)
