@@ -1,11 +1,12 @@
 """Rebuilding conversations from message rows.
 
 Rows without an identifier of their own (null or blank conversation_id, or the catch-all id) are threaded first: reply links
-join a row with the one before it unless it opens an exchange, quote links join an answer with the one prompt it quotes,
-and connected components of the links, found by alternating large-star and small-star joins, are the threads. Then all
-rows are ordered and validated in one range-partitioned, sorted scan: a conversation, however large, is split over as
-many partitions as its size needs, each partition gives one summary row per conversation it holds a part of, and the
-summaries of a conversation are folded in partition order.
+join a row with the one before it of its source unless it opens an exchange, quote links join an answer with the nearest
+earlier prompt that it quotes, and connected components of the links, found by alternating large-star and small-star
+joins, are the threads. Then all rows are ordered and validated in one range-partitioned, sorted scan: a conversation,
+however large, is split over as many partitions as its size needs, each partition gives one summary row per conversation
+it holds a part of, and the summaries of a conversation are folded in partition order. Links and positions come from the
+same kind of scan; what crosses a partition's end is carried by one row a partition.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlode.functions.text import blank, role
+from chatlode.llm.scans import arrow_schema, numbered
 from chatlode.operators.timestamps import normalize_timestamps
 from chatlode.session import checkpointed, table
 
 CATCH_ALL = "gemini-unknown"
 SALT = 16
-#: Opening of an answer that quotes its prompt: a short lead-in, then the prompt in quotation marks.
-QUOTED = r"^[^\r\n“「«„]{0,40}[“「«„]([\s\S]{20,}?)[”」»“]\s*(?:\r?\n|$)"
+#: Quotations in an answer, whatever stands around them, and the letters that one needs to tell a prompt.
+QUOTED = r"[“„«「『\"]([^“”„«»「」『』\"]+)[“”»」』\"]"
+QUOTE_LETTERS = 12
 
 
 def once(messages: DataFrame, *carry: Column) -> DataFrame:
@@ -41,30 +44,43 @@ def once(messages: DataFrame, *carry: Column) -> DataFrame:
     return have.groupBy(*group).agg(F.min("id").alias("id")).drop("_a", "_b", "_n")
 
 
+def lacking(catch_all: str | None) -> Column:
+    """Whether a row has no identifier of its own."""
+    none = F.col("conversation_id").isNull() | blank(F.col("conversation_id"))
+    return none if catch_all is None else none | (F.col("conversation_id") == catch_all)
+
+
 def light_rows(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame) -> DataFrame:
-    """One row per distinct message without its text: id, conversation_id, index, utc_us (where the index is null), who
-    (0 system, 1 user, 2 assistant, 3 other), is_blank, has_files."""
+    """One row per distinct message without its text: id, conversation_id, source, index, utc_us (where the index or the
+    conversation's id is null), who (0 system, 1 user, 2 assistant, 3 other), is_blank, has_files."""
     r = role(F.col("role"))
     files = F.coalesce(F.size("attachments") > 0, F.lit(False)) if "attachments" in messages.columns else F.lit(False)
     rows = once(messages, r.alias("_role"), blank(F.col("text")).alias("is_blank"), files.alias("has_files"))
     rows = rows.withColumn("who", F.when(F.col("_role") == "user", 1).when(F.col("_role") == "assistant", 2).when(F.col("_role") == "system", 0).otherwise(3))
-    keep = ("conversation_id", "who", "is_blank", "has_files")
-    indexed = rows.where("message_index is not null").select("id", *keep, F.col("message_index").cast("long").alias("idx"), F.lit(None).cast("long").alias("utc_us"))
+    rows = rows.withColumn("idx", F.col("message_index").cast("long"))
+    keep = ("conversation_id", "who", "is_blank", "has_files", "idx")
     # Times give the order only where no index does.
-    timed = normalize_timestamps(rows.where("message_index is null"), sources, abbrevs, keep=keep)
-    return indexed.unionByName(timed.select("id", *keep, F.lit(None).cast("long").alias("idx"), "utc_us"))
+    timed = F.col("idx").isNull() | lacking(None)
+    indexed = rows.where(~timed).select("id", *keep, "source", F.lit(None).cast("long").alias("utc_us"))
+    late = normalize_timestamps(rows.where(timed).withColumn("_source", F.col("source")), sources, abbrevs, keep=(*keep, "_source"))
+    return indexed.unionByName(late.select("id", *keep, F.col("_source").alias("source"), "utc_us"))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """node, component (its smallest node) of every node of `edges` (u long, v long), by alternating large-star and small-star.
 
-    Each round halves the distances to the smallest node; lineage is cut after each. Self links give a component of one.
+    Each round halves the distances to the smallest node; lineage is cut after each, and rounds go on until nothing changes.
+    A graph that isn't done after `max_rounds` raises an error. Self links give a component of one.
     """
     e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u is not null and v is not null").distinct()
     alone = e.where("u = v").select("u", "v")
     e = checkpointed(e.where("u < v"))
     mark = None
     for _ in range(max_rounds):
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark or not now[0]:
+            break
+        mark = now
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct().where("u < v")
@@ -72,33 +88,96 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         star = down.join(low, "a").select(F.col("m").alias("u"), F.col("b").alias("v")).where("u < v").union(low.select(F.col("m").alias("u"), F.col("a").alias("v"))).distinct()
         e = checkpointed(star)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+    else:
+        raise RuntimeError(f"components need more than {max_rounds} rounds")
     found = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return found.union(e.select(F.col("u").alias("node"), F.col("u").alias("component"))).union(alone.select(F.col("u").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def threads(messages: DataFrame, light: DataFrame, catch_all: str = CATCH_ALL) -> DataFrame:
-    """id, thread of the rows that lack an identifier of their own: connected components over reply and quote links."""
-    lacking = F.col("conversation_id").isNull() | blank(F.col("conversation_id")) | (F.col("conversation_id") == catch_all)
-    rows = light.where(lacking).select("id", F.coalesce("conversation_id", F.lit("")).alias("c"), "idx", "who")
-    before = rows.select("c", (F.col("idx") + 1).alias("idx"), F.col("id").alias("prev"))
-    replies = rows.where("who <> 1").join(before, ["c", "idx"]).select(F.col("id").alias("u"), F.col("prev").alias("v"))
-    texts = messages.where(lacking).select("id", "text", role(F.col("role")).alias("r")).join(rows.select("id"), "id")
-    prompts = texts.where("r = 'user'").groupBy("text").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n = 1").drop("n")
-    quotes = texts.where("r = 'assistant'").select(F.col("id").alias("u"), F.regexp_extract("text", QUOTED, 1).alias("text")).where("text <> ''").join(prompts, "text").select("u", "v")
-    edges = replies.union(quotes).union(rows.select(F.col("id").alias("u"), F.col("id").alias("v")))
-    return components(edges).select(F.col("node").alias("id"), F.col("component").alias("thread"))
+_LINK = "pid int, id long, prev long, g string, kind string, step long"
 
 
-PART = "pid int, conversation_id string, seq int, n long, n_idx long, lo long, hi long, twice boolean, blank boolean, first_who int, last_who int, miss boolean, first_idx long, last_idx long"
+def _before(batches):
+    """Links of the sorted rows of one partition (id, g, seeks, gives, step): each row that seeks to the last one of its group
+    that gives. Rows of kind 'open' found none in the partition's first group; one row 'end' tells what the next
+    partitions may need: g, the last giver in `prev`, its step, and in `id` whether all the partition is that group."""
+    from pyspark import TaskContext
+
+    pid, schema = TaskContext.get().partitionId(), arrow_schema(_LINK)
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    cur, giver, at, one, started = None, None, None, True, False
+    for b in batches:
+        out = []
+        for i, g, seeks, gives, step in zip(*(b.column(c).to_pylist() for c in ("id", "g", "seeks", "gives", "step"))):
+            if not started or g != cur:
+                one, started, cur, giver, at = not started, True, g, None, None
+            if seeks:
+                if giver is not None:
+                    if near(at, step):
+                        out.append((pid, i, giver, g, "link", step))
+                elif one:
+                    out.append((pid, i, None, g, "open", step))
+            if gives:
+                giver, at = i, step
+        if out:
+            yield pack(out)
+    if started:
+        yield pack([(pid, int(one), giver, cur, "end", at)])
+
+
+def near(at: int | None, step: int | None) -> bool:
+    """Whether a row of index `step` can follow one of index `at`; rows without indexes are told by their order alone."""
+    return at is None or step is None or 0 <= step - at <= 1
+
+
+def preceding(rows: DataFrame, *order: str) -> DataFrame:
+    """id, prev: for each of `rows` (id, g, seeks, gives, step and `order`) that seeks, the last row before it that gives in
+    its group `g`, in the order of `order`; none where their steps are further apart than one. A group of any size is
+    split over partitions; one row a partition reaches the driver."""
+    keys = ["g", *order, "id"]
+    got = checkpointed(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "g", "seeks", "gives", "step").mapInArrow(_before, _LINK))
+    carried, last = [], None  # last: group, giver and step at the end of the partitions so far
+    for r in sorted(got.where("kind = 'end'").collect(), key=lambda r: r.pid):
+        if last is not None and last[1] is not None:
+            carried.append((r.pid, *last))
+        last = (r.g, *last[1:]) if r.prev is None and r.id and last is not None and last[0] == r.g else (r.g, r.prev, r.step)
+    links = got.where("kind = 'link'").select("id", "prev")
+    if not carried:
+        return links
+    ends = F.broadcast(rows.sparkSession.createDataFrame(carried, "pid int, g string, prev long, at long"))
+    ok = F.col("at").isNull() | F.col("step").isNull() | (F.col("step") - F.col("at")).between(0, 1)
+    return links.union(got.where("kind = 'open'").drop("prev").join(ends, ["pid", "g"]).where(ok).select("id", "prev"))
+
+
+def _letters_key(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
+def threads(messages: DataFrame, light: DataFrame, catch_all: str | None = CATCH_ALL) -> DataFrame:
+    """id, thread of the rows that lack an identifier of their own: connected components over reply and quote links.
+
+    A reply link goes from a row that opens no exchange to the one before it: by index in the catch-all conversation, else by
+    time among the rows of the same source; without a time, by an index that no other such row of the source has. A quote link goes to the nearest earlier prompt
+    whose letters and digits a quotation holds, QUOTE_LETTERS at least."""
+    rows = checkpointed(light.where(lacking(catch_all)).select("id", "who", "idx", "utc_us", blank(F.col("conversation_id")).alias("lost"), F.coalesce("source", F.lit("")).alias("source")))
+    rows = rows.withColumn("step", F.when(~F.col("lost"), F.col("idx"))).withColumn("late", F.when(F.col("lost"), F.col("utc_us")).otherwise(F.coalesce("idx", "utc_us")))
+    g = F.when(F.col("lost"), F.concat(F.lit("s"), "source")).otherwise(F.lit("c"))
+    steps = rows.where("late is not null").select("id", g.alias("g"), (F.col("who") != 1).alias("seeks"), F.lit(True).alias("gives"), "step", "late", (F.col("who") == 2).alias("turn"))
+    replies = preceding(steps, "late", "turn")
+    sole = rows.where("lost and late is null and idx is not null").groupBy("source", "idx").agg(F.min("id").alias("id"), F.min("who").alias("who"), F.count("*").alias("n")).where("n = 1")
+    replies = replies.union(sole.where("who <> 1").join(sole.select("source", (F.col("idx") + 1).alias("idx"), F.col("id").alias("prev")), ["source", "idx"]).select("id", "prev"))
+    texts = messages.where(lacking(catch_all)).select("id", "text", role(F.col("role")).alias("r")).where("text is not null")
+    said = texts.where("r = 'user'").select("id", _letters_key(F.col("text")).alias("k"), F.lit(True).alias("gives"))
+    quoted = texts.where((F.col("r") == "assistant") & F.col("text").rlike(QUOTED)).select("id", F.explode(F.regexp_extract_all("text", F.lit(QUOTED), 1)).alias("q"))
+    quoted = quoted.select("id", _letters_key(F.col("q")).alias("k"), F.lit(False).alias("gives"))
+    both = said.union(quoted).where(F.length("k") >= QUOTE_LETTERS).select("id", F.hex(F.xxhash64("k")).alias("g"), "gives", (~F.col("gives")).alias("seeks"), F.lit(None).cast("long").alias("step"))
+    both = both.join(rows.select("id", "late"), "id").withColumn("late", F.coalesce("late", F.when(F.col("gives"), -(1 << 62)).otherwise(1 << 62)))
+    quotes = preceding(both, "late", "seeks")
+    edges = replies.union(quotes).select(F.col("id").alias("u"), F.col("prev").alias("v")).union(rows.select(F.col("id").alias("u"), F.col("id").alias("v")))
+    return components(edges).select(F.col("node").alias("id"), F.col("component").alias("thread"))
 
 
-def arrow_schema(columns: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
+PART = "pid int, conversation_id string, seq int, n long, n_idx long, lo long, hi long, twice boolean, blank boolean, first_who int, last_who int, miss boolean, first_idx long, last_idx long"
 
 
 class Parts:
@@ -178,10 +257,11 @@ def fold(a: dict, b: dict) -> dict:
 ORDER = ("conversation_id", "idx", "late", "utc_us", "turn", "id")
 
 
-def ordered(light: DataFrame) -> DataFrame:
+def ordered(light: DataFrame, unit: str = "conversation_id") -> DataFrame:
     """`light` range-partitioned and sorted by conversation and order of its rows; rows without a time come last."""
+    order = (unit, *ORDER[1:])
     rows = light.withColumn("late", F.col("utc_us").isNull()).withColumn("turn", F.element_at(F.array(*map(F.lit, (0, 1, 3, 2))), F.col("who") + 1))
-    return rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def validate(light: DataFrame) -> DataFrame:
@@ -212,17 +292,23 @@ def verdicts(parts: DataFrame) -> DataFrame:
     return runs.select("conversation_id", F.when(empty, "empty").when(broken, "broken").when(missing, "missing_reply").alias("defect"))
 
 
-def rebuild(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame, catch_all: str = CATCH_ALL) -> DataFrame:
-    """Light rows of `messages` with `thread`: the component of rows that lack an identifier, else null.
+def rebuild(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame, catch_all: str | None = CATCH_ALL) -> DataFrame:
+    """Light rows of `messages` with `thread`: the component of rows that lack an identifier, else null; without `catch_all`
+    the catch-all conversation counts as one with an identifier.
 
-    A row with a null or blank conversation_id gets 'thread:<id>' as its conversation_id. Null or unknown roles count as other
-    roles, null texts as blank. An empty table gives an empty result; extra columns only make rows distinct.
+    A row with a null or blank conversation_id gets 'thread:<id>' as its conversation_id, and its index, which counts in a
+    conversation that isn't known, is dropped. Null or unknown roles count as other roles, null texts as blank. An empty
+    table gives an empty result; extra columns only make rows distinct.
     """
     light = checkpointed(light_rows(messages, sources, abbrevs))
+    if light.where(lacking(catch_all)).isEmpty():
+        return light.withColumn("thread", F.lit(None).cast("long"))
     found = threads(messages, light, catch_all)
-    rows = light.join(found, "id", "left")
+    rest = light.where(~lacking(catch_all)).withColumn("thread", F.lit(None).cast("long"))
+    rows = light.where(lacking(catch_all)).join(found, "id", "left")
     lost = blank(F.col("conversation_id"))
-    return rows.withColumn("conversation_id", F.when(lost, F.concat(F.lit("thread:"), F.col("thread").cast("string"))).otherwise(F.col("conversation_id")))
+    rows = rows.withColumn("idx", F.when(~lost, F.col("idx"))).withColumn("conversation_id", F.when(lost, F.concat(F.lit("thread:"), F.col("thread").cast("string"))).otherwise(F.col("conversation_id")))
+    return rest.unionByName(rows)
 
 
 def _tables(spark, sf_dir: str):
@@ -230,29 +316,20 @@ def _tables(spark, sf_dir: str):
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
-    """conversation_id, defect of the conversations to drop."""
-    return validate(rebuild(*_tables(spark, sf_dir))).where("defect is not null")
+    """conversation_id, defect of the conversations to drop; the catch-all is judged by the indexes of its own."""
+    return validate(rebuild(*_tables(spark, sf_dir), catch_all=None)).where("defect is not null")
 
 
 def p6_conversations(spark, sf_dir: str) -> DataFrame:
-    """Rows of the whole conversations in order: conversation_id, thread, position, id, role."""
-    from pyspark.sql import Window
-
-    rows = checkpointed(rebuild(*_tables(spark, sf_dir)))
-    bad = validate(rows).where("defect is not null").select("conversation_id")
+    """Rows of the whole conversations in order: conversation_id, thread, position, id, role. The threads of the catch-all are
+    conversations of their own: judged one by one, never as broken, and numbered inside."""
+    rows = rebuild(*_tables(spark, sf_dir))
+    inside = F.col("thread").isNotNull() & ~F.col("conversation_id").startswith("thread:")
+    rows = rows.withColumn("unit", F.when(inside, F.concat("conversation_id", F.lit("#"), F.col("thread").cast("string"))).otherwise(F.col("conversation_id")))
+    rows = checkpointed(rows.withColumn("utc_us", F.when(inside, F.coalesce("idx", "utc_us")).otherwise(F.col("utc_us"))).withColumn("idx", F.when(~inside, F.col("idx"))))
+    bad = validate(rows.drop("conversation_id").withColumnRenamed("unit", "conversation_id")).where("defect is not null").select(F.col("conversation_id").alias("unit"))
     # One conversation may hold a third of all rows: the join is spread over SALT copies of the ids.
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(bad, ["conversation_id", "salt"], "left_anti").drop("salt")
-    rows = rows.withColumn("turn", F.element_at(F.array(*map(F.lit, (0, 1, 3, 2))), F.col("who") + 1))
-    # Whole conversations with indexes are numbered by them; the catch-all inside its threads; the others by time, in blocks of
-    # an hour with the rows of the blocks before, so that no window holds a conversation of any length.
-    by_index = rows.where("idx is not null and thread is null").withColumn("position", F.col("idx"))
-    by_thread = rows.where("thread is not null").withColumn("position", F.row_number().over(Window.partitionBy("thread").orderBy("idx", F.col("utc_us").isNull(), "utc_us", "turn", "id")).cast("long") - 1)
-    timed = rows.where("idx is null and thread is null").withColumn("block", F.coalesce(F.floor(F.col("utc_us") / 3_600_000_000), F.lit(1 << 60)))
-    blocks = timed.groupBy("conversation_id", "block").agg(F.count("*").alias("n"))
-    blocks = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("conversation_id").orderBy("block")) - F.col("n")).drop("n")
-    inside = F.row_number().over(Window.partitionBy("conversation_id", "block").orderBy("utc_us", "turn", "id"))
-    by_time = timed.join(blocks, ["conversation_id", "block"]).withColumn("position", inside + F.col("before") - 1).drop("block", "before")
-    rows = by_index.unionByName(by_thread).unionByName(by_time)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(bad, ["unit", "salt"], "left_anti").drop("salt")
     named = F.element_at(F.array(*map(F.lit, ("system", "user", "assistant", "other"))), F.col("who") + 1)
-    return rows.select("conversation_id", "thread", "position", "id", named.alias("role"))
+    return numbered(ordered(rows, "unit"), "unit", ["id", "conversation_id", "thread", "who"]).select("conversation_id", "thread", "position", "id", named.alias("role"))

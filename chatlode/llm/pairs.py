@@ -186,7 +186,7 @@ ASKS, EARLY, EMPTY, DECLINES, ALONE = 4, 1 << 10, 1 << 11, 1 << 12, 1 << 13
 _FEATURES = "id long, text_key long, letters int, marks int, last_item string, opening string"
 FEATURES = ("text_key", "letters", "marks", "last_item", "opening")
 #: One expression over a batch tells the texts that can hold what `asked` and DECLINE look for.
-_NAMED_AT, _HINTED_AT = ("(?i)" + "|".join(map(re.escape, h)) for h in (_NAME_HINTS, _DECLINE_HINTS))
+_NAMED_AT, _HINTED_AT = ("(?i)" + "|".join(re.escape(x.strip()) for x in h) for h in (_NAME_HINTS, _DECLINE_HINTS))
 
 
 def _features(batches):
@@ -323,21 +323,28 @@ def _shingles(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
 
 
+def skeleton(words: list[str], at: list[int]) -> str:
+    """The words of an opening that its recurring shingles, which begin at the places `at`, support; the others as gaps '#'. A
+    word is supported when half of the shingles over it recur, or one that is supported in all other words does."""
+    n = max(1, len(words) - SHINGLE + 1)
+    i = np.arange(len(words))
+    low, high = np.maximum(0, i - SHINGLE + 1), np.minimum(i, n - 1) + 1
+    ok = np.zeros(n, bool)
+    ok[at] = True
+    over = lambda x: np.r_[0, np.cumsum(x)]
+    hits = over(ok)
+    core = 2 * (hits[high] - hits[low]) >= high - low
+    inside = over(core)
+    w = np.arange(n)
+    near = over(ok & (inside[np.minimum(w + SHINGLE, len(words))] - inside[w] >= min(SHINGLE, len(words)) - 1))
+    keep = core | (near[high] > near[low])
+    kept = [x if k else "#" for x, k in zip(words, keep)]
+    return " ".join(x for k, x in enumerate(kept) if x != "#" or not k or kept[k - 1] != "#")
+
+
 def _skeletons(batches):
-    """okey, skeleton: the words of an opening that mostly recurring shingles cover, the others as one gap '#'."""
     for b in batches:
-        out = []
-        for t, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            w = t.split(" ")
-            n = max(1, len(w) - SHINGLE + 1)
-            ok = np.zeros(n + 1, np.int64)
-            ok[np.array(at or [], np.int64) + 1] = 1
-            ok = np.cumsum(ok)
-            i = np.arange(len(w))
-            low, high = np.maximum(0, i - SHINGLE + 1), np.minimum(i, n - 1) + 1
-            keep = 2 * (ok[high] - ok[low]) >= high - low
-            kept = [x if k else "#" for x, k in zip(w, keep)]
-            out.append(" ".join(x for k, x in enumerate(kept) if x != "#" or not k or kept[k - 1] != "#"))
+        out = [skeleton(t.split(" "), at or []) for t, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["okey", "skeleton"])
 
 

@@ -165,6 +165,25 @@ def test_pair_defects(spark, zones):
     assert pairs.defects(m.where("false"), *zones).count() == 0
 
 
+def test_pair_templates_with_a_topic(spark, zones):
+    """A template is found whatever fills it, and reveals what declines in other words; one that answers reveals nothing."""
+    topics = ["fever curve", "python skeleton", "hip operation", "parser", "gravity model", "bread knife"]
+    rows = [x for i, t in enumerate(topics) for x in ((f"c{i}", 0, "user", f"question {i} of the day?"), (f"c{i}", 1, "ai", f"My rules keep me from discussing the {t}."))]
+    rows += [x for i, t in enumerate(topics) for x in ((f"d{i}", 0, "user", f"demand {i} of the day?"), (f"d{i}", 1, "ai", f"Take the second road after the {t}."))]
+    rows += [("e", 0, "user", "a lone demand?"), ("e", 1, "ai", "The bridge cannot carry more than one car.")]
+    got = {r.response_id: r.defect for r in pairs.defects(messages(spark, rows), *zones).collect()}
+    assert got == {2 * i + 2: "refusal" for i in range(len(topics))}
+
+
+def test_pair_hints_are_wider_than_the_wording():
+    """No text that DECLINE or a language's name matches is without a hint."""
+    for rx, at in ((pairs.DECLINE, pairs._HINTED_AT), (pairs._ANY_NAME, pairs._NAMED_AT)):
+        for alt in re.sub(r"\\b|\(\?:|[()]", "", rx.pattern).split("|"):
+            word = re.sub(r"\\w[*+]|\w?\?", "", re.sub(r"\[(.)[^\]]*\]", r"\1", alt)).replace("{0,2}", "")
+            if rx.search(word):
+                assert re.search(at.replace("(?i)", ""), word.lower()), word
+
+
 def test_pair_refusals_and_cut_items_of_any_length(spark, zones):
     no = "I can't help with the request about the cache, since it is against my rules to speak of it here"
     longer = " ".join([no + "."] * 5)
@@ -185,7 +204,7 @@ def test_templates_compare_all_members_of_a_bucket(spark):
     buckets = {}
     for r in next(pairs._signatures([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["o", "opening"])])).to_pylist():
         buckets.setdefault(r["band"], set()).add(r["o"])
-    grams = [pairs._grams(t) for t in texts]
+    grams = [set(pairs._shingles(t.split(" "))) for t in texts]
     want = list(range(len(texts)))
     for b in buckets.values():
         for x, y in itertools.combinations(b, 2):
@@ -333,6 +352,48 @@ def test_threads(spark, zones):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
 
 
+def test_threads_of_rows_without_an_id(spark, zones):
+    """Exchanges without an id are told apart by time; without a time, only an index that is there once tells anything."""
+    t = "2024-01-01T%02d:%02d:%02d+00:00"
+    rows = [x for i in range(50) for x in ((None, 0, "user", f"q{i}", t % (i // 60, i % 60, 1)), (" ", 1, "ai", f"a{i}", t % (i // 60, i % 60, 9)))]
+    got = {r.id: r.thread for r in conversations.rebuild(messages(spark, rows), *zones).collect()}
+    assert got == {i: i - (i - 1) % 2 for i in range(1, 101)}
+    untimed = [r[:4] for r in rows]
+    got = {r.id: r.thread for r in conversations.rebuild(messages(spark, untimed), *zones).collect()}
+    assert len(set(got.values())) == 100
+    got = {r.id: r.thread for r in conversations.rebuild(messages(spark, untimed[:2]), *zones).collect()}
+    assert got == {1: 1, 2: 1}
+
+
+def test_catch_all_threads_are_judged_one_by_one(spark, zones, tmp_path):
+    c = conversations.CATCH_ALL
+    rows = [(c, 0, "user", "q"), (c, 1, "ai", "a"), (c, 2, "user", "no answer"), (c, 3, "user", "q"), (c, 4, "tool", "t"), (c, 5, "ai", "a"), (c, None, "user", "q"), ("z", 1, "user", "q"), ("z", 2, "ai", "a")]
+    messages(spark, rows).write.parquet(f"{tmp_path}/messages.parquet")
+    for name, df in zip(("export_sources", "zone_abbrevs"), zones):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = conversations.p6_conversations(spark, str(tmp_path)).collect()
+    assert sorted((r.thread, r.position, r.id, r.role) for r in got) == [(1, 0, 1, "user"), (1, 1, 2, "assistant"), (4, 0, 4, "user"), (4, 1, 5, "other"), (4, 2, 6, "assistant")]
+    assert {r.conversation_id: r.defect for r in conversations.p6_found(spark, str(tmp_path)).collect()} == {c: "broken", "z": "broken"}
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.booleans(), st.booleans()), max_size=30), st.integers(1, 6))
+def test_preceding(spark, rows, parts):
+    """Links over any number of partitions, held against a plain scan."""
+    want, last = {}, {}
+    for i, (g, seeks, gives) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[0])):
+        if seeks and g in last:
+            want[i] = last[g]
+        if gives:
+            last[g] = i
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame([(i, g, s, v, None, i) for i, (g, s, v) in enumerate(rows)], "id long, g string, seeks boolean, gives boolean, step long, at long")
+        assert {r.id: r.prev for r in conversations.preceding(df, "at").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, edges):
