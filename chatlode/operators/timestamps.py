@@ -1,17 +1,20 @@
 """Mixed timestamp formats and time zones: one UTC instant per value that denotes one.
 
-Every value is matched against the formats below and gets one candidate parse per format that reads it as an existing
-date. Formats that differ only in the order of day and month can read the same value; which of them a source writes is
-found by expectation-maximisation: each (source, timestamp_source) has a mixture over the orders, values contribute their
-likelihood under each valid parse, and the declared order of the source enters as prior counts. The posterior picks the
-reading of an ambiguous value; values whose best posterior stays under `min_posterior` are marked unresolved.
-
-Everything but the few EM rounds runs in built-in expressions. EM works on counts per (source, set of valid orders): at
-most eight rows per source, whatever the number of values.
+Every value gets all readings under which it is an existing date: one for most formats, two for all-numeric dates (the
+order of day and month), up to four for plain numbers (seconds to nanoseconds). Each (source, timestamp_source) has a
+mixture over the readings' formats, found by expectation-maximisation: a value contributes, to each format that can read
+it, its likelihood there, which is low for an instant that no archive holds. The declared date order of a source weighs
+as many observations as the source has values, times a factor, whatever the size of the data. The posterior picks the
+reading; values whose best posterior stays under `min_posterior`, and those without a known zone, are marked unresolved.
+
+Everything but the few EM rounds runs in built-in expressions. EM works on counts per (source, set of readings): a few
+dozen rows per source, whatever the number of values.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,11 @@ MONTHS = {
     "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12,
 }
 
-ORDERS = ("ymd", "mdy", "dmy")
+#: Units of plain numbers, as powers of ten of a second, and the instants, in seconds, that any of them may denote.
+UNITS = {"seconds": 0, "milliseconds": 3, "microseconds": 6, "nanoseconds": 9}
+EARLIEST, LATEST = 1_000_000, 100_000_000_000
+#: Instants of an archive, in seconds: 1990 to 2100. Others have the likelihood UNLIKELY.
+LIKELY, UNLIKELY = (631_152_000, 4_102_444_800), 1e-4
 #: A row that is already in the target form: UTC offset written out, no fraction or six digits.
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{6})?\+00:00$"
 
@@ -70,49 +77,46 @@ def _local_us(order: str) -> Column:
     return F.unix_micros(day_at) + F.coalesce(F.rpad(F.substring(part(6), 1, 6), 6, "0").try_cast("long"), F.lit(0))
 
 
-def _epoch_us(t: Column) -> Column:
-    """Microseconds of a plain number: seconds, milliseconds, microseconds or nanoseconds by size; 0 denotes nothing."""
+def _epoch_us(t: Column, power: int) -> Column:
+    """Microseconds of a plain number in units of 10**-power seconds; null outside of EARLIEST to LATEST, 0 denotes nothing."""
     v = t.try_cast("double")
-    exact = t.try_cast("decimal(38,9)")
-    size = F.abs(v)
-    return (
-        F.when(size < 1e6, None)
-        .when(size < 1e11, F.round(F.coalesce(exact, v.cast("decimal(38,9)")) * 1_000_000))
-        .when(size < 1e14, F.round(F.coalesce(exact, v.cast("decimal(38,9)")) * 1_000))
-        .when(size < 1e17, F.round(F.coalesce(exact, v.cast("decimal(38,9)"))))
-        .when(size < 1e20, F.round(F.coalesce(exact, v.cast("decimal(38,9)")) / 1_000))
-        .cast("long")
-    )
+    exact = F.coalesce(t.try_cast("decimal(38,9)"), v.cast("decimal(38,9)"))
+    us = F.round(exact * 10 ** (6 - power)) if power <= 6 else F.round(exact / 10 ** (power - 6))
+    return F.when(F.abs(v).between(EARLIEST * 10.0**power, LATEST * 10.0**power), us.cast("long"))
 
 
 def _mixture(pdf: pd.DataFrame, prior: float, rounds: int) -> pd.DataFrame:
-    """EM for one source: rows are sets of valid orders with their counts; result, the mixture weights."""
+    """EM for one source: rows are sets of readings ('format:likelihood' joined by '|') with their counts; result, the weights."""
     declared = pdf.declared.dropna().iloc[0] if pdf.declared.notna().any() else None
-    alpha = {o: (prior if o == declared else 1.0) for o in ORDERS}
-    w = {o: alpha[o] / sum(alpha.values()) for o in ORDERS}
-    sets = [(tuple(s), float(n)) for s, n in zip(pdf.orders, pdf.n)]
+    sets = [([(f, float(x)) for f, x in (r.split(":") for r in s.split("|"))], float(n)) for s, n in zip(pdf.readings, pdf.n)]
+    names = sorted({f for s, _ in sets for f, _ in s})
+    alpha = dict.fromkeys(names, 1.0)
+    for sure, either in ((declared, ("mdy", "dmy")), ("dot_dmy", ("dot_dmy", "dot_mdy"))):
+        if sure in alpha:  # as many observations as there are such values, times `prior`
+            alpha[sure] += prior * sum(n for s, n in sets if any(f in either for f, _ in s))
+    w = {f: 1.0 for f in names}
     for _ in range(rounds):
         got = dict(alpha)
-        for orders, n in sets:
-            total = sum(w[o] for o in orders)
-            for o in orders:
-                got[o] += n * w[o] / total
+        for s, n in sets:
+            total = sum(w[f] * x for f, x in s)
+            for f, x in s:
+                got[f] += n * w[f] * x / total
         whole = sum(got.values())
-        w = {o: v / whole for o, v in got.items()}
-    return pd.DataFrame({"source": [pdf.source.iloc[0]], "timestamp_source": [pdf.timestamp_source.iloc[0]], **{f"w_{o}": [w[o]] for o in ORDERS}})
+        w = {f: v / whole for f, v in got.items()}
+    return pd.DataFrame({"source": [pdf.source.iloc[0]], "timestamp_source": [pdf.timestamp_source.iloc[0]], "weights": [json.dumps(w)]})
 
 
-def normalize_timestamps(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame, key: str = "id", keep: tuple[str, ...] = (), min_posterior: float = 0.75, prior: float = 1e6, rounds: int = 25) -> DataFrame:
+def normalize_timestamps(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame, key: str = "id", keep: tuple[str, ...] = (), min_posterior: float = 0.75, prior: float = 10.0, rounds: int = 25) -> DataFrame:
     """`key`, utc_us, format, posterior and ambiguous of every row of `messages`, any table with `key`, source,
     timestamp_source and timestamp; extra columns are ignored but for those in `keep`.
 
-    utc_us is null where the text denotes no instant: null, blank or filler text, an impossible date, a local time that
-    a change of clocks skipped, a zone that is not known, or timestamp_source 'none'. A local time that occurs twice is
-    its first occurrence. A time without zone is read in the home zone of its (source, timestamp_source), and denotes
-    nothing when `sources` lists none. `ambiguous` marks values whose best posterior is under `min_posterior`; they
-    keep the likelier reading. Repeated rows each get their own result; an empty table gives an empty one.
-    `prior` is the weight of the declared date_order in observations, so that a declared order holds against the values
-    that can be read either way.
+    utc_us is null where the text denotes no instant: null, blank or filler text, an impossible date, a plain number that is
+    under EARLIEST seconds in every unit, a local time that a change of clocks skipped, a zone that is not known, or
+    timestamp_source 'none'. A local time that occurs twice is its first occurrence. A time without zone is read in the
+    home zone of its (source, timestamp_source), and denotes nothing when `sources` lists none. `ambiguous` marks values
+    whose best posterior is under `min_posterior`, which keep the likelier reading, and those that lack a home zone.
+    Repeated rows each get their own result; an empty table gives an empty one. `prior` is the weight of the declared
+    date_order against all values of its source together, so that it is the same at every size.
     """
     base = messages.select(F.col(key), *keep, "source", "timestamp_source", F.col("timestamp").alias("raw"))
     base = base.withColumn("canonical", F.coalesce(F.col("raw").rlike(CANONICAL), F.lit(False)))
@@ -136,37 +140,44 @@ def normalize_timestamps(messages: DataFrame, sources: DataFrame, abbrevs: DataF
     hour = F.when((pm | am) & ((hour > 12) | (hour < 1)), None).when(pm & (hour < 12), hour + 12).when(am & (hour == 12), 0).otherwise(hour)
     base = base.withColumn("hour", F.when(hour < 24, hour))
     family = F.col("family")
-    base = base.select(
-        "*",
-        F.when(family.isin("ymd", "compact", "cjk"), _local_us("ymd")).when(family.isin("mondy", "ctime"), _local_us("mdy")).when(family.isin("dot", "dmony"), _local_us("dmy")).alias("fixed_us"),
-        F.when(family == "num", _local_us("mdy")).alias("mdy_us"),
-        F.when(family == "num", _local_us("dmy")).alias("dmy_us"),
-        F.coalesce(F.element_at("fields", 9), F.lit("")).alias("z"),
-    ).drop("fields", "hour")
-
-    # Mixture of each source over the orders, from all values: those that only one order can read are the evidence.
+    reading = lambda name, us: F.struct(F.lit(name).alias("name"), us.alias("us"))
+    seconds = lambda x: x["us"] / 1_000_000
+    valid = F.filter(
+        F.when(family.isin("ymd", "compact", "cjk"), F.array(F.struct(family.alias("name"), _local_us("ymd").alias("us"))))
+        .when(family.isin("mondy", "ctime"), F.array(F.struct(family.alias("name"), _local_us("mdy").alias("us"))))
+        .when(family == "dmony", F.array(reading("dmony", _local_us("dmy"))))
+        .when(family == "dot", F.array(reading("dot_dmy", _local_us("dmy")), reading("dot_mdy", _local_us("mdy"))))
+        .when(family == "num", F.array(reading("mdy", _local_us("mdy")), reading("dmy", _local_us("dmy"))))
+        .when(family == "epoch", F.array(*[reading(k, _epoch_us(t, p)) for k, p in UNITS.items()])),
+        lambda x: x["us"].isNotNull(),
+    )
+    base = bound(base.withColumn("z", F.coalesce(F.element_at("fields", 9), F.lit(""))), "readings", valid).drop("fields", "hour")
+
+    # Mixture of each source over the formats, from all values: those that only one format can read are the evidence.
+    likely = lambda x: F.when((family != "epoch") | seconds(x).between(*LIKELY), F.lit(1.0)).otherwise(F.lit(UNLIKELY))
     sides = sources.groupBy("source", "timestamp_source").agg(F.min("home_zone").alias("home_zone"), F.min("date_order").alias("declared"))
-    read = F.array_compact(F.array(F.when(F.col("mdy_us").isNotNull(), F.lit("mdy")), F.when(F.col("dmy_us").isNotNull(), F.lit("dmy")), F.when((F.col("family") == "ymd") & F.col("fixed_us").isNotNull(), F.lit("ymd"))))
-    counts = base.where(F.col("family").isin("num", "ymd")).groupBy("source", "timestamp_source", read.alias("orders")).agg(F.count("*").alias("n")).where(F.size("orders") > 0)
+    read = F.array_join(F.transform("readings", lambda x: F.concat(x["name"], F.lit(":"), likely(x).cast("string"))), "|")
+    several = F.col("family").isin("num", "dot", "epoch")  # no other value has a choice, or tells anything of one
+    counts = base.where(several & (F.size("readings") > 0)).groupBy("source", "timestamp_source", read.alias("readings")).agg(F.count("*").alias("n"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"]) & a["timestamp_source"].eqNullSafe(b["timestamp_source"])
-    counts = counts.join(sides, same(counts, sides), "left").select(counts["source"], counts["timestamp_source"], "orders", "n", "declared")
-    mixture = counts.groupBy("source", "timestamp_source").applyInPandas(lambda pdf: _mixture(pdf, prior, rounds), "source string, timestamp_source string, w_ymd double, w_mdy double, w_dmy double")
-    sides = sides.join(mixture, same(sides, mixture), "full").select(
-        F.coalesce(sides["source"], mixture["source"]).alias("source"), F.coalesce(sides["timestamp_source"], mixture["timestamp_source"]).alias("timestamp_source"), "home_zone", "w_mdy", "w_dmy"
-    )
+    counts = counts.join(sides, same(counts, sides), "left").select(counts["source"], counts["timestamp_source"], "readings", "n", "declared")
+    mixture = counts.groupBy("source", "timestamp_source").applyInPandas(lambda pdf: _mixture(pdf, prior, rounds), "source string, timestamp_source string, weights string")
+    mixture = mixture.withColumn("weights", F.from_json("weights", "map<string,double>"))
+    sides = sides.join(mixture, same(sides, mixture), "full").select(F.coalesce(sides["source"], mixture["source"]).alias("source"), F.coalesce(sides["timestamp_source"], mixture["timestamp_source"]).alias("timestamp_source"), "home_zone", "weights")
     sides = small(sides)
     named = small(abbrevs.groupBy(F.lower("abbrev").alias("abbrev")).agg(F.min("offset_minutes").alias("named_minutes")))
-    j = base.join(sides, same(base, sides), "left").select(base["*"], "home_zone", "w_mdy", "w_dmy")
+    j = base.join(sides, same(base, sides), "left").select(base["*"], "home_zone", "weights")
     j = j.join(named, F.col("z") == F.col("abbrev"), "left").drop("abbrev")
 
-    both = F.col("mdy_us").isNotNull() & F.col("dmy_us").isNotNull()
-    m, d = F.coalesce("w_mdy", F.lit(0.5)), F.coalesce("w_dmy", F.lit(0.5))
-    p_mdy = F.when(both, m / (m + d)).when(F.col("mdy_us").isNotNull(), 1.0).otherwise(0.0)
-    same_reading = both & (F.col("mdy_us") == F.col("dmy_us"))
-    j = j.withColumn("local_us", F.coalesce("fixed_us", F.when(p_mdy >= 0.5, F.col("mdy_us")).otherwise(F.col("dmy_us"))))
-    j = j.withColumn("posterior", F.when(both & ~same_reading, F.greatest(p_mdy, 1 - p_mdy)).otherwise(1.0))
-
-    j = bound(j, "local_us", F.col("local_us"))
+    # Readings that give the same instant count together; of equal ones the first holds.
+    weigh = F.transform("readings", lambda x: F.struct((F.coalesce(F.try_element_at("weights", x["name"]), F.lit(1.0)) * likely(x)).alias("p"), x["us"].alias("us"), x["name"].alias("name")))
+    first, second = F.try_element_at("readings", F.lit(1)), F.try_element_at("readings", F.lit(2))
+    one = (F.size("readings") == 1) | (F.size("readings") == 2) & (first["us"] == second["us"])
+    j = bound(j, "weighed", F.when(~one, weigh))
+    best = F.reduce("weighed", F.try_element_at("weighed", F.lit(1)), lambda a, x: F.when(x["p"] > a["p"], x).otherwise(a))
+    j = bound(j, "best", F.when(one, F.struct(F.lit(1.0).alias("p"), first["us"].alias("us"), first["name"].alias("name"))).otherwise(best))
+    total = F.when(one, 1.0).otherwise(F.reduce("weighed", F.lit(0.0), lambda s, x: s + x["p"]))
+    j = bound(j.withColumn("posterior", F.col("best.p") / total), "local_us", F.col("best.us")).drop("weighed", "readings")
     z = F.col("z")
     digits = F.regexp_replace(F.substring(z, 2, 6), ":", "")
     digits = F.when(F.length(digits) <= 2, F.rpad(F.lpad(digits, 2, "0"), 4, "0")).otherwise(F.lpad(digits, 4, "0"))
@@ -175,9 +186,11 @@ def normalize_timestamps(messages: DataFrame, sources: DataFrame, abbrevs: DataF
     region = F.when(region.isin(*_zones()), region)
     local = F.timestamp_micros("local_us")
     there = F.to_utc_timestamp(local, region)
-    utc = F.when(F.col("family") == "epoch", _epoch_us(t)).when(offset.isNotNull(), F.col("local_us") - offset.cast("long") * 60_000_000).when(F.from_utc_timestamp(there, region) == local, F.unix_micros(there))
+    utc = F.when(F.col("family") == "epoch", F.col("local_us")).when(offset.isNotNull(), F.col("local_us") - offset.cast("long") * 60_000_000).when(F.from_utc_timestamp(there, region) == local, F.unix_micros(there))
     j = bound(j, "utc_us", utc)
-    return j.select(F.col(key), *keep, "utc_us", F.coalesce("family", F.lit("none")).alias("format"), "posterior", (F.col("posterior") < min_posterior).alias("ambiguous"), "canonical")
+    homeless = F.col("local_us").isNotNull() & F.col("utc_us").isNull() & (z == "") & F.col("home_zone").isNull()
+    unsure = F.coalesce(F.col("posterior") < min_posterior, F.lit(False)) | homeless
+    return j.select(F.col(key), *keep, "utc_us", F.coalesce("best.name", "family", F.lit("none")).alias("format"), "posterior", unsure.alias("ambiguous"), "canonical")
 
 
 def _zones() -> list[str]:
@@ -193,3 +206,11 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
 
     r = normalize_timestamps(table(spark, sf_dir, "messages"), table(spark, sf_dir, "export_sources"), table(spark, sf_dir, "zone_abbrevs"))
     return r.where(~F.col("canonical") & F.col("utc_us").isNotNull()).select("id", "utc_us")
+
+
+def p4_readings(spark, sf_dir: str) -> DataFrame:
+    """id, utc_us, format, posterior and ambiguous of every row of messages: the reading of its time and how sure it is."""
+    from chatlode.session import table
+
+    r = normalize_timestamps(table(spark, sf_dir, "messages"), table(spark, sf_dir, "export_sources"), table(spark, sf_dir, "zone_abbrevs"))
+    return r.select("id", "utc_us", "format", "posterior", "ambiguous")

@@ -7,7 +7,7 @@ from chatlode.operators.registry import QUERIES
 
 
 def queries():
-    return {name: f for name, (f, _) in QUERIES.items()} | {"p4_found": timestamps.p4_found}
+    return {name: f for name, (f, _) in QUERIES.items()} | {"p4_found": timestamps.p4_found, "p4_readings": timestamps.p4_readings}
 
 
 def oracle_sql():
