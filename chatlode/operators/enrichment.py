@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from chatlode.functions import timeutil
-from chatlode.operators.registry import MESSAGES_SQL as M
+from chatlode.operators.registry import ROLES_SQL as M
 from chatlode.operators.registry import query
 from chatlode.session import table
 
@@ -22,7 +22,6 @@ EMOTIONS = {
 }
 # User messages that carry nothing.
 FILLER = r"(?i)^(继续|好的?|嗯+|哦+|谢谢|感谢|ok|okay|yes|no|对|对的|是的|可以|行|好|在吗|你好|嗨|hi|hello|？+|\?+)[。！!~，, \t\r\n]*$"
-STRUCTURED = r"(?m)^ {0,3}(#{1,6}[ \t]+[^ \t\r\n]|[-*+][ \t]+[^ \t\r\n]|[0-9]+[.)、][ \t]*[^ \t\r\n])"
 INDENTED = r"(?m)^( {4}|\t)[^ \t\r\n]"
 
 
@@ -34,30 +33,9 @@ def _occ_sql(words):
     return " + ".join(f"CAST((length(t) - length(replace(t, '{w}', ''))) / {len(w)} AS BIGINT)" for w in words)
 
 
-@query(
-    "h2_flags",
-    f"SELECT conversation_id, count(*) FILTER (rl = 'user') AS users, count(*) FILTER (rl IS DISTINCT FROM 'user') AS others, CAST(coalesce(sum(length(text)) FILTER (rl = 'user'), 0) AS BIGINT) AS user_chars, "
-    f"coalesce(bool_or(contains(text, '```') OR regexp_matches(text, '(^|\\n)( {{4}}|\\t)[^ \\t\\r\\n]')), false) AS has_code, coalesce(bool_or(rl IS DISTINCT FROM 'user' AND regexp_matches(text, '(^|\\n) {{0,3}}(#{{1,6}}[ \\t]+[^ \\t\\r\\n]|[-*+][ \\t]+[^ \\t\\r\\n]|[0-9]+[.)、][ \\t]*[^ \\t\\r\\n])')), false) AS structured, "
-    f"coalesce(bool_or(len(attachments) > 0), false) AS has_files, coalesce(bool_or(trim(coalesce(thinking, ''), ' ') <> ''), false) AS has_thinking FROM {M} GROUP BY conversation_id",
-)
-def flags(spark, d):
-    """Role counts, code, structure, attachments and reasoning of each conversation, in one aggregation."""
-    m = timeutil.messages(table(spark, d, "messages"))
-    user = F.coalesce(F.col("rl") == "user", F.lit(False))
-    return m.groupBy("conversation_id").agg(
-        F.count_if(user).alias("users"),
-        F.count_if(~user).alias("others"),
-        F.coalesce(F.sum(F.when(user, F.length("text"))), F.lit(0)).alias("user_chars"),
-        F.coalesce(F.bool_or(F.contains("text", F.lit("```")) | F.col("text").rlike(INDENTED)), F.lit(False)).alias("has_code"),
-        F.coalesce(F.bool_or(~user & F.col("text").rlike(STRUCTURED)), F.lit(False)).alias("structured"),
-        F.coalesce(F.bool_or(F.size("attachments") > 0), F.lit(False)).alias("has_files"),
-        F.bool_or(F.trim(F.coalesce("thinking", F.lit(""))) != "").alias("has_thinking"),
-    )
-
-
 @query("h5_filler_ratio", f"SELECT conversation_id, round(count(*) FILTER (trim(coalesce(text, ''), ' ') = '' OR regexp_matches(trim(text, ' '), '{FILLER}')) * 1.0 / count(*), 4) AS filler FROM {M} WHERE rl = 'user' GROUP BY conversation_id")
 def filler_ratio(spark, d):
-    m = timeutil.messages(table(spark, d, "messages")).where("rl = 'user'")
+    m = timeutil.roles(table(spark, d, "messages")).where("rl = 'user'")
     t = F.trim(F.coalesce("text", F.lit("")))
     return m.groupBy("conversation_id").agg(F.round(F.count_if((t == "") | t.rlike(FILLER)) / F.count("*"), 4).alias("filler"))
 
@@ -70,7 +48,7 @@ def filler_ratio(spark, d):
     + ", round(1 - greatest(" + ", ".join(f"least(1.0, {k} / 3.0)" for k in EMOTIONS) + "), 4) AS calm FROM s",
 )
 def emotions(spark, d):
-    m = timeutil.messages(table(spark, d, "messages")).where("rl = 'user'")
+    m = timeutil.roles(table(spark, d, "messages")).where("rl = 'user'")
     t = F.coalesce("text", F.lit(""))
     c = m.groupBy("conversation_id").agg(*[F.sum(occurrences(t, ws)).alias(k) for k, ws in EMOTIONS.items()])
     total = reduce(lambda a, b: a + b, [F.col(k) for k in EMOTIONS])
@@ -79,27 +57,6 @@ def emotions(spark, d):
     return c.select("conversation_id", F.round(sentiment, 4).alias("sentiment"), F.round(F.least(F.lit(1.0), total / 6), 4).alias("intensity"), *[F.round(e, 4).alias(k) for k, e in each.items()], F.round(1 - F.greatest(*each.values()), 4).alias("calm"))
 
 
-@query("h10_summary", f"SELECT c.conversation_id, CASE WHEN s.first IS NULL THEN '' ELSE substr(s.first, 1, 42) END || ' · ' || c.n || '条' AS summary FROM (SELECT conversation_id, count(*) AS n FROM messages GROUP BY 1) c LEFT JOIN (SELECT conversation_id, arg_min(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' '), CAST(message_index AS BIGINT) * 1000000000 + id) AS first FROM {M} WHERE rl = 'user' AND message_index IS NOT NULL AND trim(coalesce(text, ''), ' ') <> '' AND NOT regexp_matches(trim(text, ' '), '{FILLER}') GROUP BY 1) s ON s.conversation_id = c.conversation_id")
-def summary(spark, d):
-    """First user message that says something, in 42 characters, and the number of messages: one aggregation."""
-    m = timeutil.messages(table(spark, d, "messages"))
-    t = F.trim(F.coalesce("text", F.lit("")))
-    says = (F.col("rl") == "user") & F.col("message_index").isNotNull() & (t != "") & ~t.rlike(FILLER)
-    flat = F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))
-    g = m.groupBy("conversation_id").agg(F.count("*").alias("n"), F.min_by(flat, F.when(says, F.struct("message_index", "id"))).alias("first"))
-    return g.where("conversation_id is not null").select("conversation_id", F.concat(F.substring(F.coalesce("first", F.lit("")), 1, 42), F.lit(" · "), F.col("n").cast("string"), F.lit("条")).alias("summary"))
-
-
-@query("h9_topics", f"WITH w AS (SELECT conversation_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_+#.-]{{2,}}'))) AS term FROM {M} WHERE rl = 'user' AND conversation_id IS NOT NULL), c AS (SELECT conversation_id, term, count(*) AS n FROM w WHERE term NOT IN ('the','and','for','you','are','with','that','this') GROUP BY 1, 2) SELECT conversation_id, CAST(r AS INTEGER) AS r, term, n FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY n DESC, term DESC) AS r FROM c) WHERE r <= 5")
-def topics(spark, d, top=5):
-    """Most frequent words of each conversation's prompts, later words first on ties."""
-    m = timeutil.messages(table(spark, d, "messages")).where("rl = 'user' and conversation_id is not null")
-    w = m.select("conversation_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_+#.-]{2,}"), 0)).alias("w")).select("conversation_id", F.lower("w").alias("term"))
-    c = w.where(~F.col("term").isin("the", "and", "for", "you", "are", "with", "that", "this")).groupBy("conversation_id", "term").agg(F.count("*").alias("n"))
-    r = F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("n"), F.desc("term")))
-    return c.withColumn("r", r).where(F.col("r") <= top).select("conversation_id", "r", "term", "n")
-
-
 @query("a17_status", "SELECT count(*) AS n, round(avg(value), 4) AS avg_value, count(*) FILTER (keep) AS kept, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens, round(coalesce(sum(cost), 0), 4) AS cost, strftime(min(analyzed_at), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(analyzed_at), '%Y-%m-%d %H:%M:%S') AS last_at, " + ", ".join(f"count(*) FILTER (value = {v}) AS v{v}" for v in range(6)) + " FROM analysis")
 def status(spark, d):
     a = table(spark, d, "analysis")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from chatlode.functions.text import ASSISTANT_ALIASES, USER_ALIASES
+from chatlode.operators.timestamps import normalized_sql
 
 QUERIES: dict[str, tuple] = {}
 
@@ -17,6 +18,7 @@ def query(name: str, sql: str | None = None):
 
 _in = lambda words: ", ".join(f"'{w}'" for w in words)
 ROLE_SQL = f"CASE WHEN lower(trim(role)) IN ({_in(ASSISTANT_ALIASES)}) THEN 'assistant' WHEN lower(trim(role)) IN ({_in(USER_ALIASES)}) THEN 'user' ELSE lower(trim(role)) END"
-TS_SQL = r"CASE WHEN regexp_matches(timestamp, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{6})?\+00:00$') THEN CAST(substr(timestamp, 1, length(timestamp) - 6) AS TIMESTAMP) END"
-#: Messages with the role read through its aliases, the instant of dated rows in UTC and in the display zone (UTC+8).
-MESSAGES_SQL = f"(SELECT *, {ROLE_SQL} AS rl, {TS_SQL} AS ts, {TS_SQL} + INTERVAL 8 HOUR AS lt FROM messages)"
+#: Messages with the role read through its aliases, and for the second also the instant of each time text, of any format, in
+#: UTC and in the display zone (UTC+8).
+ROLES_SQL = f"(SELECT *, {ROLE_SQL} AS rl FROM messages)"
+MESSAGES_SQL = f"(SELECT *, {ROLE_SQL} AS rl, make_timestamp(utc_us) AS ts, make_timestamp(utc_us) + INTERVAL 8 HOUR AS lt FROM {normalized_sql()})"

@@ -89,33 +89,27 @@ _JUMP = "2025-06-27 12:00:00"
 @query("j7_jump", f"(SELECT 'after' AS side, id FROM {M} WHERE lt >= TIMESTAMP '{_JUMP}' ORDER BY lt, id LIMIT 1) UNION ALL (SELECT 'before' AS side, id FROM {M} WHERE lt < TIMESTAMP '{_JUMP}' ORDER BY lt DESC, id LIMIT 1)")
 def jump(spark, d, at=_JUMP):
     """The messages next to a local time on either side, by one aggregation."""
-    m = timeutil.messages(table(spark, d, "messages")).where("lt is not null")
+    m = timeutil.messages(spark, d).where("lt is not null")
     t = F.lit(at).cast("timestamp_ntz")
     g = m.agg(F.min(F.when(F.col("lt") >= t, F.struct("lt", "id"))).alias("after"), F.min_by("id", F.when(F.col("lt") < t, F.struct((-F.unix_micros(F.col("lt").cast("timestamp"))).alias("a"), "id"))).alias("before"))
     return g.select(F.explode(F.array(F.struct(F.lit("after").alias("side"), F.col("after.id").alias("id")), F.struct(F.lit("before").alias("side"), F.col("before").alias("id")))).alias("x")).select("x.*").where("id is not null")
 
 
-@query("j9_inferred_times", f"SELECT id, strftime(coalesce(ts, CASE WHEN rl = 'assistant' THEN last_value(CASE WHEN rl = 'user' THEN ts END IGNORE NULLS) OVER (PARTITION BY conversation_id, CAST(floor(message_index / 1000) AS BIGINT) ORDER BY message_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END), '%Y-%m-%d %H:%M:%S') AS at FROM {M} WHERE message_index IS NOT NULL")
-def inferred_times(spark, d, block=1000, whole=False):
-    """An answer without a time inherits that of the prompt before it. Conversations are cut into blocks of indexes, so that
-    one of any length is spread over tasks; the inheritance stays inside its block, as the query's SQL has it. With `whole`
-    it passes on from block to block, and rows without an index, which have no prompt before them, keep their own time."""
-    m = timeutil.messages(table(spark, d, "messages"))
-    if whole:
-        m = _blocks(m, block)
-        asked = F.when((F.col("rl") == "user") & F.col("message_index").isNotNull(), F.col("ts"))
-        m = _with_blocks_before(m, carry=(F.max_by("ts", F.when(asked.isNotNull(), F.struct("message_index", "id"))), lambda c, w: F.last(c, ignorenulls=True).over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))))
-        prev = F.coalesce(F.last(asked, ignorenulls=True).over(_in_block().rowsBetween(Window.unboundedPreceding, Window.currentRow)), "carry")
-        return m.select("id", timeutil.text_of(F.coalesce("ts", F.when((F.col("rl") == "assistant") & F.col("message_index").isNotNull(), prev))).alias("at"))
-    m = m.where("message_index is not null")
-    w = Window.partitionBy("conversation_id", F.floor(F.col("message_index") / block)).orderBy("message_index", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = F.last(F.when(F.col("rl") == "user", F.col("ts")), ignorenulls=True).over(w)
-    return m.select("id", timeutil.text_of(F.coalesce("ts", F.when(F.col("rl") == "assistant", prev))).alias("at"))
+@query("j9_inferred_times", f"SELECT id, strftime(coalesce(ts, CASE WHEN rl = 'assistant' AND message_index IS NOT NULL THEN last_value(CASE WHEN rl = 'user' AND message_index IS NOT NULL THEN ts END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY message_index NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END), '%Y-%m-%d %H:%M:%S') AS at FROM {M}")
+def inferred_times(spark, d, block=1000):
+    """An answer without a time inherits that of the prompt before it; rows without an index, which have no prompt before them,
+    keep their own time. Conversations are cut into blocks of indexes, so that one of any length is spread over tasks, and
+    the last prompt's time passes on from block to block."""
+    m = _blocks(timeutil.messages(spark, d), block)
+    asked = F.when((F.col("rl") == "user") & F.col("message_index").isNotNull(), F.col("ts"))
+    m = _with_blocks_before(m, carry=(F.max_by("ts", F.when(asked.isNotNull(), F.struct("message_index", "id"))), lambda c, w: F.last(c, ignorenulls=True).over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))))
+    prev = F.coalesce(F.last(asked, ignorenulls=True).over(_in_block().rowsBetween(Window.unboundedPreceding, Window.currentRow)), "carry")
+    return m.select("id", timeutil.text_of(F.coalesce("ts", F.when((F.col("rl") == "assistant") & F.col("message_index").isNotNull(), prev))).alias("at"))
 
 
 @query("w5_created_updated", f"SELECT conversation_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated FROM {M} GROUP BY conversation_id")
 def created_updated(spark, d):
-    m = timeutil.messages(table(spark, d, "messages"))
+    m = timeutil.messages(spark, d)
     return m.groupBy("conversation_id").agg(timeutil.text_of(F.min("ts")).alias("created"), timeutil.text_of(F.max("ts")).alias("updated"))
 
 
@@ -136,15 +130,14 @@ def selection(spark, d):
     return g.where("last = 'add'").select("collection", "conversation_id", F.array_min(F.filter("adds", lambda s: s > F.col("removed"))).alias("added_seq"))
 
 
-_SAMPLE_SQL = f"WITH m AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY message_index, id) - 1 AS i, count(*) OVER (PARTITION BY conversation_id) AS n FROM {M} WHERE message_index < 500 AND trim(coalesce(text, ''), ' ') <> ''), s AS (SELECT *, greatest(1, (n - 2) // 38) AS step FROM m)"
+_SAMPLE_SQL = "WITH m AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY message_index NULLS FIRST, id) - 1 AS i, count(*) OVER (PARTITION BY conversation_id) AS n FROM messages WHERE trim(coalesce(text, ''), ' ') <> ''), s AS (SELECT *, greatest(1, (n - 2) // 38) AS step FROM m)"
 
 
 @query("w9_digest_sample", _SAMPLE_SQL + " SELECT conversation_id, id FROM s WHERE n <= 40 OR i = 0 OR i = n - 1 OR (i BETWEEN 1 AND n - 2 AND (i - 1) % step = 0 AND (i - 1) // step < 38)")
-def digest_sample(spark, d, cap=40, horizon=500):
-    """Head, evenly strided middle and tail of each conversation: at most `cap` rows, the sampling being the feature. Only
-    indexes below `horizon` are seen, as the query's SQL has it; with None all messages are."""
-    m = table(spark, d, "messages").where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    m = _blocks(m if horizon is None else m.where(F.col("message_index") < horizon))
+def digest_sample(spark, d, cap=40):
+    """Head, evenly strided middle and tail of each conversation, of all its messages that say something: at most `cap` rows,
+    the sampling being the feature. Rows without an index come first."""
+    m = _blocks(table(spark, d, "messages").where(F.trim(F.coalesce("text", F.lit(""))) != ""))
     m = _with_blocks_before(m, n=(F.count("*"), lambda c, w: F.sum(c).over(w)), before=(F.count("*"), _before))
     m = m.withColumn("i", F.row_number().over(_in_block()) - 1 + F.col("before"))
     step = F.greatest(F.lit(1), F.floor((F.col("n") - 2) / (cap - 2)))
@@ -152,12 +145,10 @@ def digest_sample(spark, d, cap=40, horizon=500):
     return m.where((F.col("n") <= cap) | (F.col("i") == 0) | (F.col("i") == F.col("n") - 1) | mid).select("conversation_id", "id")
 
 
-@query("w10_char_budget", f"SELECT conversation_id, id FROM (SELECT conversation_id, id, sum(length(text)) OVER (PARTITION BY conversation_id ORDER BY message_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {M} WHERE message_index < 500 AND text IS NOT NULL) WHERE run <= 1000")
-def char_budget(spark, d, budget=1000, horizon=500):
-    """Messages from the start of each conversation as long as their characters stay within a budget. Only indexes below
-    `horizon` are seen, as the query's SQL has it; with None all messages are."""
-    m = table(spark, d, "messages").where(F.col("text").isNotNull())
-    m = _blocks(m if horizon is None else m.where(F.col("message_index") < horizon)).select("conversation_id", "message_index", "id", "_b", F.length("text").alias("long"))
+@query("w10_char_budget", "SELECT conversation_id, id FROM (SELECT conversation_id, id, sum(length(text)) OVER (PARTITION BY conversation_id ORDER BY message_index NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM messages WHERE text IS NOT NULL) WHERE run <= 1000")
+def char_budget(spark, d, budget=1000):
+    """Messages from the start of each conversation as long as their characters stay within a budget."""
+    m = _blocks(table(spark, d, "messages").where(F.col("text").isNotNull())).select("conversation_id", "message_index", "id", "_b", F.length("text").alias("long"))
     m = _with_blocks_before(m, before=(F.sum("long"), _before)).where(F.col("before") <= budget)
     run = F.sum("long").over(_in_block().rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
     return m.withColumn("run", run).where(F.col("run") <= budget).select("conversation_id", "id")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlode.functions import timeutil
+from chatlode.functions import text, timeutil
 from chatlode.operators.registry import MESSAGES_SQL as M
+from chatlode.operators.registry import ROLES_SQL as R
 from chatlode.operators.registry import query
 from chatlode.session import table
 
@@ -61,11 +64,15 @@ def snippet(col: Column, at: Column, width: int = 180) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
+def all_terms(terms) -> Column:
+    """Whether text or thinking holds each of the terms."""
+    return reduce(lambda a, b: a & b, [holds(F.col("text"), t) | holds(F.col("thinking"), t) for t in terms])
+
+
 def search(messages: DataFrame, conversations: DataFrame, terms, limit: int = 30, candidates: int = CANDIDATES) -> DataFrame:
-    """Messages that hold all terms in text or thinking: the newest `candidates`, scored by hits in text, half the hits in
+    """Messages (with their instants `ts`) that hold all terms in text or thinking: the newest `candidates`, scored by hits in text, half the hits in
     thinking and 3 for each term in the title, best first, then oldest. The two limits are the feature."""
-    m = timeutil.messages(messages)
-    m = m.where(reduce(lambda a, b: a & b, [holds(F.col("text"), t) | holds(F.col("thinking"), t) for t in terms]))
+    m = messages.where(all_terms(terms))
     top = m.orderBy(F.desc_nulls_last("ts"), F.desc("id")).limit(candidates)
     titles = conversations.groupBy("conversation_id").agg(F.min("title").alias("title"))
     j = top.join(titles, "conversation_id", "left")
@@ -96,12 +103,12 @@ _at = lambda c: "coalesce(least(" + ", ".join(f"nullif(instr(lower(coalesce({c},
     + f" AS DOUBLE) AS score, CASE WHEN {_at('text')} > 0 THEN {_sql_snip('text', _at('text'))} ELSE '💭 ' || {_sql_snip('thinking', _at('thinking'))} END AS snippet FROM c LEFT JOIN t USING (conversation_id) ORDER BY score DESC, ts ASC NULLS LAST, id LIMIT 30",
 )
 def search_scored(spark, d):
-    return search(table(spark, d, "messages"), table(spark, d, "conversations"), TERMS)
+    return search(timeutil.messages(spark, d, all_terms(TERMS)), table(spark, d, "conversations"), TERMS)
 
 
 @query("f2_search_all_terms", "SELECT id FROM messages WHERE " + " AND ".join(f"(contains(lower(coalesce(text, '')), '{t}') OR contains(lower(coalesce(thinking, '')), '{t}'))" for t in TERMS))
 def search_all_terms(spark, d):
-    return table(spark, d, "messages").where(reduce(lambda a, b: a & b, [holds(F.col("text"), t) | holds(F.col("thinking"), t) for t in TERMS])).select("id")
+    return table(spark, d, "messages").where(all_terms(TERMS)).select("id")
 
 
 @query(
@@ -110,8 +117,8 @@ def search_all_terms(spark, d):
 )
 def filtered_search(spark, d, role="user", source="gemini", first="2025-01-01", last="2025-06-30", term="数据"):
     """Role, source and half-open local date range, then the term; the source filter reaches the scan."""
-    m = timeutil.messages(table(spark, d, "messages").where(F.col("source") == source))
-    return m.where((F.col("rl") == role) & (F.col("lt") >= F.lit(first).cast("timestamp_ntz")) & (F.col("lt") < F.date_add(F.lit(last), 1).cast("timestamp_ntz")) & holds(F.col("text"), term)).select("id")
+    m = timeutil.messages(spark, d, (F.col("source") == source) & (text.role(F.col("role")) == role) & holds(F.col("text"), term))
+    return m.where((F.col("lt") >= F.lit(first).cast("timestamp_ntz")) & (F.col("lt") < F.date_add(F.lit(last), 1).cast("timestamp_ntz"))).select("id")
 
 
 @query("f12_has_cjk", "SELECT source, count(*) FILTER (regexp_matches(coalesce(text, ''), '[\\x{2E80}-\\x{9FFF}\\x{F900}-\\x{FAFF}]')) AS cjk, count(*) AS n FROM messages GROUP BY source")
@@ -195,11 +202,12 @@ def title_filter(spark, d, term="notes"):
     return c.where(holds(c.title, term) | holds(c.conversation_id, term)).select("conversation_id", "title")
 
 
-@query("x16_preview", f"SELECT conversation_id, arg_min(trim(replace(substr(text, 1, 160), chr(10), ' '), ' '), id) AS preview FROM {M} WHERE rl = 'user' AND message_index = 0 AND text IS NOT NULL GROUP BY conversation_id")
+@query("x16_preview", f"SELECT conversation_id, arg_min(trim(replace(substr(text, 1, 160), chr(10), ' '), ' '), (coalesce(message_index, 2147483647), id)) AS preview FROM {R} WHERE rl = 'user' AND text IS NOT NULL GROUP BY conversation_id")
 def preview(spark, d):
-    """First user message of each conversation in 160 characters."""
-    m = timeutil.messages(table(spark, d, "messages")).where("rl = 'user' and message_index = 0 and text is not null")
-    return m.groupBy("conversation_id").agg(F.min_by(F.trim(F.replace(F.substring("text", 1, 160), F.lit("\n"), F.lit(" "))), "id").alias("preview"))
+    """First user message of each conversation in 160 characters: by index, those without one last, then by id."""
+    m = timeutil.roles(table(spark, d, "messages")).where("rl = 'user' and text is not null")
+    at = F.struct(F.coalesce("message_index", F.lit(2**31 - 1)), "id")
+    return m.groupBy("conversation_id").agg(F.min_by(F.trim(F.replace(F.substring("text", 1, 160), F.lit("\n"), F.lit(" "))), at).alias("preview"))
 
 
 def mark_html(col: Column, terms) -> Column:
@@ -258,9 +266,6 @@ def mask_email(spark, d):
 def norm_text(spark, d):
     """Compatibility-composed, lower-case text with collapsed whitespace, by an Arrow batch function: there is no built-in
     for the normal form."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from chatlode.functions import timeutil
 from chatlode.operators.registry import MESSAGES_SQL as M
+from chatlode.operators.registry import ROLES_SQL as R
 from chatlode.operators.registry import query
 from chatlode.session import table
 
 
 def _m(spark, d):
-    return timeutil.messages(table(spark, d, "messages"))
+    return timeutil.messages(spark, d)
 
 
 def _n(name="n"):
@@ -29,9 +30,9 @@ def totals(spark, d):
     return _m(spark, d).agg(_n("messages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), timeutil.text_of(F.min("ts")).alias("first_at"), timeutil.text_of(F.max("ts")).alias("last_at"))
 
 
-@query("a2_by_role", f"SELECT rl AS role, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM {M} GROUP BY rl")
+@query("a2_by_role", f"SELECT rl AS role, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM {R} GROUP BY rl")
 def by_role(spark, d):
-    return _m(spark, d).groupBy(F.col("rl").alias("role")).agg(_n(), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    return timeutil.roles(table(spark, d, "messages")).groupBy(F.col("rl").alias("role")).agg(_n(), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
 
 
 @query("a3_by_source", "SELECT source, count(DISTINCT conversation_id) AS conversations, count(*) AS messages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, round(count(*) * 1.0 / count(DISTINCT conversation_id), 2) AS avg_messages FROM messages GROUP BY source")

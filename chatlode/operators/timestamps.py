@@ -91,9 +91,9 @@ def _mixture(pdf: pd.DataFrame, prior: float, rounds: int) -> pd.DataFrame:
     sets = [([(f, float(x)) for f, x in (r.split(":") for r in s.split("|"))], float(n)) for s, n in zip(pdf.readings, pdf.n)]
     names = sorted({f for s, _ in sets for f, _ in s})
     alpha = dict.fromkeys(names, 1.0)
-    for sure, either in ((declared, ("mdy", "dmy")), ("dot_dmy", ("dot_dmy", "dot_mdy"))):
-        if sure in alpha:  # as many observations as there are such values, times `prior`
-            alpha[sure] += prior * sum(n for s, n in sets if any(f in either for f, _ in s))
+    if declared in ("mdy", "dmy"):  # as many observations as there are such values, times `prior`
+        alpha[declared] = alpha.get(declared, 1.0) + prior * sum(n for s, n in sets if any(f in ("mdy", "dmy") for f, _ in s))
+        names = sorted(alpha)
     w = {f: 1.0 for f in names}
     for _ in range(rounds):
         got = dict(alpha)
@@ -106,18 +106,8 @@ def _mixture(pdf: pd.DataFrame, prior: float, rounds: int) -> pd.DataFrame:
     return pd.DataFrame({"source": [pdf.source.iloc[0]], "timestamp_source": [pdf.timestamp_source.iloc[0]], "weights": [json.dumps(w)]})
 
 
-def normalize_timestamps(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame, key: str = "id", keep: tuple[str, ...] = (), min_posterior: float = 0.75, prior: float = 10.0, rounds: int = 25) -> DataFrame:
-    """`key`, utc_us, format, posterior and ambiguous of every row of `messages`, any table with `key`, source,
-    timestamp_source and timestamp; extra columns are ignored but for those in `keep`.
-
-    utc_us is null where the text denotes no instant: null, blank or filler text, an impossible date, a plain number that is
-    under EARLIEST seconds in every unit, a local time that a change of clocks skipped, a zone that is not known, or
-    timestamp_source 'none'. A local time that occurs twice is its first occurrence. A time without zone is read in the
-    home zone of its (source, timestamp_source), and denotes nothing when `sources` lists none. `ambiguous` marks values
-    whose best posterior is under `min_posterior`, which keep the likelier reading, and those that lack a home zone.
-    Repeated rows each get their own result; an empty table gives an empty one. `prior` is the weight of the declared
-    date_order against all values of its source together, so that it is the same at every size.
-    """
+def _read(messages: DataFrame, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """`key`, `keep`, source, timestamp_source and raw with the readings (name, us) of each value, its family and its zone `z`."""
     base = messages.select(F.col(key), *keep, "source", "timestamp_source", F.col("timestamp").alias("raw"))
     base = base.withColumn("canonical", F.coalesce(F.col("raw").rlike(CANONICAL), F.lit(False)))
     base = bound(base, "t", F.when(~F.coalesce(F.col("timestamp_source") == "none", F.lit(False)), _clean(F.col("raw"))))
@@ -141,36 +131,65 @@ def normalize_timestamps(messages: DataFrame, sources: DataFrame, abbrevs: DataF
     base = base.withColumn("hour", F.when(hour < 24, hour))
     family = F.col("family")
     reading = lambda name, us: F.struct(F.lit(name).alias("name"), us.alias("us"))
-    seconds = lambda x: x["us"] / 1_000_000
     valid = F.filter(
         F.when(family.isin("ymd", "compact", "cjk"), F.array(F.struct(family.alias("name"), _local_us("ymd").alias("us"))))
         .when(family.isin("mondy", "ctime"), F.array(F.struct(family.alias("name"), _local_us("mdy").alias("us"))))
-        .when(family == "dmony", F.array(reading("dmony", _local_us("dmy"))))
-        .when(family == "dot", F.array(reading("dot_dmy", _local_us("dmy")), reading("dot_mdy", _local_us("mdy"))))
+        .when(family.isin("dmony", "dot"), F.array(F.struct(family.alias("name"), _local_us("dmy").alias("us"))))
         .when(family == "num", F.array(reading("mdy", _local_us("mdy")), reading("dmy", _local_us("dmy"))))
         .when(family == "epoch", F.array(*[reading(k, _epoch_us(t, p)) for k, p in UNITS.items()])),
         lambda x: x["us"].isNotNull(),
     )
     base = bound(base.withColumn("z", F.coalesce(F.element_at("fields", 9), F.lit(""))), "readings", valid).drop("fields", "hour")
 
-    # Mixture of each source over the formats, from all values: those that only one format can read are the evidence.
-    likely = lambda x: F.when((family != "epoch") | seconds(x).between(*LIKELY), F.lit(1.0)).otherwise(F.lit(UNLIKELY))
+    return base
+
+
+def _likely(x: Column) -> Column:
+    """Likelihood of a reading."""
+    return F.when((F.col("family") != "epoch") | (x["us"] / 1_000_000).between(*LIKELY), F.lit(1.0)).otherwise(F.lit(UNLIKELY))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["source"]) & a["timestamp_source"].eqNullSafe(b["timestamp_source"])
+
+
+def mixtures(messages: DataFrame, sources: DataFrame, prior: float = 10.0, rounds: int = 25) -> DataFrame:
+    """source, timestamp_source, home_zone, weights: each source's mixture over the formats, from all its values: those that
+    only one format can read are the evidence."""
+    return _mixtures(_read(messages, "timestamp", ()), sources, prior, rounds)
+
+
+def _mixtures(base: DataFrame, sources: DataFrame, prior: float, rounds: int) -> DataFrame:
     sides = sources.groupBy("source", "timestamp_source").agg(F.min("home_zone").alias("home_zone"), F.min("date_order").alias("declared"))
-    read = F.array_join(F.transform("readings", lambda x: F.concat(x["name"], F.lit(":"), likely(x).cast("string"))), "|")
-    several = F.col("family").isin("num", "dot", "epoch")  # no other value has a choice, or tells anything of one
+    read = F.array_join(F.transform("readings", lambda x: F.concat(x["name"], F.lit(":"), _likely(x).cast("string"))), "|")
+    several = F.col("family").isin("num", "epoch")  # no other value has a choice, or tells anything of one
     counts = base.where(several & (F.size("readings") > 0)).groupBy("source", "timestamp_source", read.alias("readings")).agg(F.count("*").alias("n"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"]) & a["timestamp_source"].eqNullSafe(b["timestamp_source"])
-    counts = counts.join(sides, same(counts, sides), "left").select(counts["source"], counts["timestamp_source"], "readings", "n", "declared")
+    counts = counts.join(sides, _same(counts, sides), "left").select(counts["source"], counts["timestamp_source"], "readings", "n", "declared")
     mixture = counts.groupBy("source", "timestamp_source").applyInPandas(lambda pdf: _mixture(pdf, prior, rounds), "source string, timestamp_source string, weights string")
     mixture = mixture.withColumn("weights", F.from_json("weights", "map<string,double>"))
-    sides = sides.join(mixture, same(sides, mixture), "full").select(F.coalesce(sides["source"], mixture["source"]).alias("source"), F.coalesce(sides["timestamp_source"], mixture["timestamp_source"]).alias("timestamp_source"), "home_zone", "weights")
-    sides = small(sides)
+    return sides.join(mixture, _same(sides, mixture), "full").select(F.coalesce(sides["source"], mixture["source"]).alias("source"), F.coalesce(sides["timestamp_source"], mixture["timestamp_source"]).alias("timestamp_source"), "home_zone", "weights")
+
+
+def normalize_timestamps(messages: DataFrame, sources: DataFrame, abbrevs: DataFrame, key: str = "id", keep: tuple[str, ...] = (), min_posterior: float = 0.75, prior: float = 10.0, rounds: int = 25, sides: DataFrame | None = None) -> DataFrame:
+    """`key`, utc_us, format, posterior and ambiguous of every row of `messages`, any table with `key`, source,
+    timestamp_source and timestamp; extra columns are ignored but for those in `keep`.
+
+    utc_us is null where the text denotes no instant: null, blank or filler text, an impossible date, a plain number that is
+    under EARLIEST seconds in every unit, a local time that a change of clocks skipped, a zone that is not known, or
+    timestamp_source 'none'. A local time that occurs twice is its first occurrence. A time without zone is read in the
+    home zone of its (source, timestamp_source), and denotes nothing when `sources` lists none. `ambiguous` marks values
+    whose best posterior is under `min_posterior`, which keep the likelier reading, and those that lack a home zone.
+    Repeated rows each get their own result; an empty table gives an empty one. `prior` is the weight of the declared
+    date_order against all values of its source together, so that it is the same at every size. `sides`: what `mixtures` gave for these rows, where it is known already.
+    """
+    base = _read(messages, key, keep)
+    sides = small(sides if sides is not None else _mixtures(base, sources, prior, rounds))
     named = small(abbrevs.groupBy(F.lower("abbrev").alias("abbrev")).agg(F.min("offset_minutes").alias("named_minutes")))
-    j = base.join(sides, same(base, sides), "left").select(base["*"], "home_zone", "weights")
+    j = base.join(sides, _same(base, sides), "left").select(base["*"], "home_zone", "weights")
     j = j.join(named, F.col("z") == F.col("abbrev"), "left").drop("abbrev")
 
     # Readings that give the same instant count together; of equal ones the first holds.
-    weigh = F.transform("readings", lambda x: F.struct((F.coalesce(F.try_element_at("weights", x["name"]), F.lit(1.0)) * likely(x)).alias("p"), x["us"].alias("us"), x["name"].alias("name")))
+    weigh = F.transform("readings", lambda x: F.struct((F.coalesce(F.try_element_at("weights", x["name"]), F.lit(1.0)) * _likely(x)).alias("p"), x["us"].alias("us"), x["name"].alias("name")))
     first, second = F.try_element_at("readings", F.lit(1)), F.try_element_at("readings", F.lit(2))
     one = (F.size("readings") == 1) | (F.size("readings") == 2) & (first["us"] == second["us"])
     j = bound(j, "weighed", F.when(~one, weigh))
@@ -178,7 +197,7 @@ def normalize_timestamps(messages: DataFrame, sources: DataFrame, abbrevs: DataF
     j = bound(j, "best", F.when(one, F.struct(F.lit(1.0).alias("p"), first["us"].alias("us"), first["name"].alias("name"))).otherwise(best))
     total = F.when(one, 1.0).otherwise(F.reduce("weighed", F.lit(0.0), lambda s, x: s + x["p"]))
     j = bound(j.withColumn("posterior", F.col("best.p") / total), "local_us", F.col("best.us")).drop("weighed", "readings")
-    z = F.col("z")
+    t, z = F.col("t"), F.col("z")
     digits = F.regexp_replace(F.substring(z, 2, 6), ":", "")
     digits = F.when(F.length(digits) <= 2, F.rpad(F.lpad(digits, 2, "0"), 4, "0")).otherwise(F.lpad(digits, 4, "0"))
     offset = F.when(z == "z", 0).when(z.rlike(r"^[+-]\d"), F.when(z.startswith("-"), -1).otherwise(1) * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int"))).otherwise(F.col("named_minutes"))
@@ -214,3 +233,59 @@ def p4_readings(spark, sf_dir: str) -> DataFrame:
 
     r = normalize_timestamps(table(spark, sf_dir, "messages"), table(spark, sf_dir, "export_sources"), table(spark, sf_dir, "zone_abbrevs"))
     return r.select("id", "utc_us", "format", "posterior", "ambiguous")
+
+
+# --- the same in SQL, as a check: one statement per format, orders by their evidence -------------------------------------
+_SQL_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
+_SQL_TAIL = r"(?:\s*<(am|pm|a\.m\.|p\.m\.)>)?(?:\s+uhr)?\s*(z|[+-]\d{1,2}(?::?\d{2})?|\[[a-z_+\-]+(?:/[a-z_+\-0-9]+){0,2}\]|[a-z_]+(?:/[a-z_+\-0-9]+){1,2}|[a-z]{2,5})?"
+_SQL_FORMS = {
+    "ymd": (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[t ,]\s*)\s*" + _SQL_CLOCK + _SQL_TAIL, "y m d h mi s f ap z"),
+    "compact": (r"(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(\d{2})(?:[.,](\d{1,9}))?" + _SQL_TAIL, "y m d h mi s f ap z"),
+    "cjk": (r"(\d{4})年(\d{1,2})月(\d{1,2})日\s*(上午|下午|午前|午後)?\s*" + _SQL_CLOCK + _SQL_TAIL.replace("<(am|", "<(?:am|"), "y m d cap h mi s f z"),
+    "num": (r"(\d{1,2})/(\d{1,2})/(\d{4}),?\s+" + _SQL_CLOCK + _SQL_TAIL, "m d y h mi s f ap z"),
+    "dot": (r"(\d{1,2})\.(\d{1,2})\.(\d{4}),?\s+" + _SQL_CLOCK + _SQL_TAIL, "d m y h mi s f ap z"),
+    "dmony": (r"(?:[a-z]{3,9},?\s+)?(\d{1,2})\.?\s+(\p{L}{3,10})\.?,?\s+(\d{4}),?\s+" + _SQL_CLOCK + _SQL_TAIL, "d mon y h mi s f ap z"),
+    "mondy": (r"(\p{L}{3,10})\.?\s+(\d{1,2}),?\s+(\d{4}),?\s+" + _SQL_CLOCK + _SQL_TAIL, "mon d y h mi s f ap z"),
+    "ctime": (r"[a-z]{3}\s+([a-z]{3})\s+(\d{1,2})\s+" + _SQL_CLOCK + r"\s+(\d{4})", "mon d h mi s f y"),
+}
+
+
+def normalized_sql() -> str:
+    """A subquery on messages with all its columns and utc_us, the instant of `timestamp` in microseconds or null."""
+    parts = ("y", "m", "d", "mon", "h", "mi", "s", "f", "ap", "cap", "z")
+    cols = {k: [] for k in parts}
+    family = []
+    for name, (p, order) in _SQL_FORMS.items():
+        order = order.split()
+        family.append(f"WHEN regexp_matches(t, '^{p}$') THEN '{name}'")
+        for k in parts:
+            if k in order:
+                cols[k].append(f"WHEN '{name}' THEN regexp_extract(t, '^{p}$', {order.index(k) + 1})")
+    clean = r"lower(trim(regexp_replace(regexp_replace(timestamp, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' '))"
+    clean = rf"regexp_replace({clean}, '(^|[^a-z])(am|pm|a\.m\.|p\.m\.)([^a-z]|$)', '\1<\2>\3')"  # marked: there is no look-ahead
+    a = f"SELECT *, CASE WHEN coalesce(timestamp_source, '') <> 'none' THEN {clean} END AS t FROM messages"
+    b = f"SELECT *, CASE WHEN regexp_matches(t, '{_EPOCH}') THEN 'epoch' {' '.join(family)} END AS fam FROM ({a})"
+    c = f"SELECT *, " + ", ".join(f"CASE fam {' '.join(v)} END AS _{k}" for k, v in cols.items()) + f" FROM ({b})"
+    month = "CASE " + " ".join(f"WHEN _mon = '{k}' THEN {v}" for k, v in MONTHS.items()) + " END"
+    half = "coalesce(_ap, '') || coalesce(_cap, '')"
+    hour = f"CASE WHEN {half} IN ('pm', 'p.m.', '下午', '午後', 'am', 'a.m.', '上午', '午前') AND (_hh > 12 OR _hh < 1) THEN NULL WHEN {half} IN ('pm', 'p.m.', '下午', '午後') AND _hh < 12 THEN _hh + 12 WHEN {half} IN ('am', 'a.m.', '上午', '午前') AND _hh = 12 THEN 0 WHEN _hh < 24 THEN _hh END"
+    e = f"SELECT *, {hour} AS _hour, coalesce(TRY_CAST(_m AS INTEGER), {month}) AS _month FROM (SELECT *, TRY_CAST(_h AS INTEGER) AS _hh FROM ({c}))"
+    at = lambda m, d: f"epoch_us(TRY_CAST(printf('%s-%02d-%02d %02d:%02d:%02d', _y, {m}, {d}, _hour, CAST(_mi AS INTEGER), coalesce(TRY_CAST(nullif(_s, '') AS INTEGER), 0)) AS TIMESTAMP)) + coalesce(TRY_CAST(rpad(substr(nullif(_f, ''), 1, 6), 6, '0') AS BIGINT), 0)"
+    ok = "_hour IS NOT NULL AND coalesce(TRY_CAST(nullif(_s, '') AS INTEGER), 0) < 60 AND fam <> 'epoch'"
+    f = f"SELECT *, CASE WHEN {ok} THEN {at('_month', 'CAST(_d AS INTEGER)')} END AS one_us, CASE WHEN {ok} AND fam = 'num' THEN {at('CAST(_d AS INTEGER)', '_month')} END AS two_us FROM ({e})"
+    g = f"SELECT x.*, s.home_zone, s.date_order, count(*) FILTER (fam = 'num' AND one_us IS NOT NULL AND two_us IS NULL) OVER w AS n_mdy, count(*) FILTER (fam = 'num' AND one_us IS NULL AND two_us IS NOT NULL) OVER w AS n_dmy FROM ({f}) x LEFT JOIN (SELECT source, timestamp_source, min(home_zone) AS home_zone, min(date_order) AS date_order FROM export_sources GROUP BY 1, 2) s ON s.source IS NOT DISTINCT FROM x.source AND s.timestamp_source IS NOT DISTINCT FROM x.timestamp_source WINDOW w AS (PARTITION BY x.source, x.timestamp_source)"
+    units = "CASE " + " ".join(f"WHEN abs(CAST(t AS DOUBLE)) BETWEEN {LIKELY[0]} * 1e{p} AND {LIKELY[1]} * 1e{p} THEN CAST(round(CAST(CAST(t AS DOUBLE) AS DECIMAL(38, 6)) * {10 ** max(0, 6 - p)} / {10 ** max(0, p - 6)}) AS BIGINT)" for p in UNITS.values()) + " " + " ".join(f"WHEN abs(CAST(t AS DOUBLE)) BETWEEN {EARLIEST} * 1e{p} AND {LATEST} * 1e{p} THEN CAST(round(CAST(CAST(t AS DOUBLE) AS DECIMAL(38, 6)) * {10 ** max(0, 6 - p)} / {10 ** max(0, p - 6)}) AS BIGINT)" for p in UNITS.values()) + " END"
+    month_first = "CASE date_order WHEN 'mdy' THEN true WHEN 'dmy' THEN false ELSE n_mdy >= n_dmy END"
+    h = f"SELECT *, CASE WHEN fam = 'epoch' THEN {units} WHEN fam <> 'num' THEN one_us WHEN {month_first} THEN coalesce(one_us, two_us) ELSE coalesce(two_us, one_us) END AS local_us FROM ({g})"
+    digits = "replace(substr(_z, 2), ':', '')"
+    minutes = f"CASE WHEN _z = 'z' THEN 0 WHEN regexp_matches(_z, '^[+-]') THEN (CASE WHEN _z[1] = '-' THEN -1 ELSE 1 END) * (CASE WHEN length({digits}) <= 2 THEN CAST({digits} AS INTEGER) * 60 ELSE CAST({digits} AS INTEGER) // 100 * 60 + CAST({digits} AS INTEGER) % 100 END) ELSE a.offset_minutes END"
+    zone = r"CASE WHEN coalesce(_z, '') = '' THEN home_zone ELSE regexp_extract(timestamp, '\[?([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*)\]?\s*$', 1) END"
+    i = f"SELECT h.*, {minutes} AS off, {zone} AS zone FROM ({h}) h LEFT JOIN (SELECT lower(abbrev) AS abbrev, min(offset_minutes) AS offset_minutes FROM zone_abbrevs GROUP BY 1) a ON a.abbrev = h._z"
+    j = f"SELECT *, CASE WHEN off IS NULL AND fam <> 'epoch' AND zone IN (SELECT name FROM pg_timezone_names()) THEN timezone(zone, make_timestamp(local_us)) END AS there FROM ({i})"
+    first = "CASE WHEN timezone(zone, there) IS DISTINCT FROM make_timestamp(local_us) THEN NULL WHEN timezone(zone, there - INTERVAL 1 HOUR) = make_timestamp(local_us) THEN epoch_us(there - INTERVAL 1 HOUR) ELSE epoch_us(there) END"
+    drop = "t, fam, " + ", ".join(f"_{k}" for k in parts) + ", _hh, _hour, _month, one_us, two_us, home_zone, date_order, n_mdy, n_dmy, local_us, off, zone, there"
+    return f"(SELECT * EXCLUDE ({drop}), CASE WHEN fam = 'epoch' THEN local_us WHEN off IS NOT NULL THEN local_us - CAST(off AS BIGINT) * 60000000 ELSE {first} END AS utc_us FROM ({j}))"
+
+
+#: p4_found in SQL.
+FOUND_SQL = f"SELECT id, utc_us FROM {normalized_sql()} WHERE utc_us IS NOT NULL AND NOT regexp_matches(timestamp, '{CANONICAL}')"

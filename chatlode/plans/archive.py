@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlode.operators import enrichment, relations, search, stats, timestamps  # noqa: F401  the modules register their queries
+from chatlode.operators import classify, enrichment, relations, search, stats, timestamps, topics, views  # noqa: F401  the modules register their queries
 from chatlode.operators.registry import QUERIES
 
 
@@ -11,4 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql} | {"p4_found": timestamps.FOUND_SQL}

@@ -7,10 +7,12 @@ the input stage, so parsing is narrow and parallel over records; nothing larger
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
 from datetime import datetime, timezone
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -201,33 +203,109 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{k: r.get(k) for k in _FIELDS} for r in rows], schema=_SCHEMA)
 
 
-def _conversations(records: DataFrame, source: str, parse) -> DataFrame:
-    """Message rows of `records` (rec: one conversation as JSON text); records that are no JSON objects are left out."""
+def _conversations(records: DataFrame, source: str, parse, unnamed: str | None = None) -> DataFrame:
+    """Message rows of `records` (rec: one conversation as JSON text); records that are no JSON objects are left out. With
+    `unnamed`, a conversation without an id gets this prefix and a digest of its record as one."""
+
+    return records.mapInArrow(lambda batches: _parse_records(batches, source, parse, unnamed), ROWS)
+
+
+def _parse_records(batches, source: str, parse, unnamed: str | None):
+    for b in batches:
+        rows = []
+        for raw in b.column(0).to_pylist():
+            try:
+                c = json.loads(raw)
+            except (TypeError, ValueError):
+                continue
+            if isinstance(c, dict):
+                cid = str(c.get("conversation_id") or c.get("id") or c.get("chat_id") or "") or None
+                if cid is None and unnamed is not None:
+                    cid = unnamed + hashlib.sha256(raw.encode("utf-8", "replace")).hexdigest()[:16]
+                ms = parse(c)
+                title = c.get("title") or c.get("name") or next((m["text"].strip().split("\n")[0][:80] for m in ms if m["role"] == "user" and m["text"].strip()), None)
+                rows += [m | {"conversation_id": cid, "source": source, "title": title} for m in ms]
+        yield _batch(rows)
+
+
+def open_input(path: str):
+    """A file of any file system that Spark names, opened for reading in pieces."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    local = re.match(r"file:/+|(?=/)", path)
+    if local:
+        return fs.LocalFileSystem().open_input_file("/" + path[local.end() :].lstrip("/"))
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/%"))
+    return system.open_input_file(name)
+
+
+def chunks_of(path: str, size: int = 1 << 20):
+    """Decoded pieces of a file, a mark of order skipped; bytes that are no UTF-8 become replacement characters."""
+    import codecs
+
+    decode = codecs.getincrementaldecoder("utf-8-sig")("replace").decode
+    with open_input(path) as f:
+        while piece := f.read(size):
+            yield decode(piece)
+        yield decode(b"", True)
+
+
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},]', re.S)
+# Names under which exports put their array.
+_WRAPPED = tuple(json.dumps(k) for k in ("conversations", "data", "items", "activity"))
+
+
+def array_elements(chunks):
+    """The elements, as JSON texts, of an array that is alone in a text or under a usual name in its object. The text comes in
+    pieces, and no more than an element is held. A text without such an array, or with one that doesn't end, is an error."""
+    buf, pos, depth, at, start, key = "", 0, 0, None, None, None
+    chunks = iter(chunks)
+    while True:
+        m, quote = _TOKEN.search(buf, pos), buf.find('"', pos)
+        if m is None or 0 <= quote < m.start():  # the token, or a text, goes on in the next piece
+            more = next(chunks, None)
+            if more is None:
+                raise ValueError("no whole array of conversations or items")
+            base = pos if start is None else start
+            buf, pos, start = buf[base:] + more, pos - base, None if start is None else 0
+            continue
+        tok, pos = m.group(), m.end()
+        if tok[0] == '"':
+            key = tok if depth == 1 and at is None else key
+        elif tok in "[{":
+            depth += 1
+            if at is None and tok == "[" and (depth == 1 or depth == 2 and key in _WRAPPED):
+                at, start = depth, pos
+        elif tok == "," and depth != at:
+            continue
+        elif tok == "," or depth == at:
+            if x := buf[start : m.start()].strip():
+                yield x
+            if tok != ",":
+                return
+            start = pos
+        else:
+            depth -= 1
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for raw in b.column(0).to_pylist():
-                try:
-                    c = json.loads(raw)
-                except (TypeError, ValueError):
-                    continue
-                if isinstance(c, dict):
-                    cid = str(c.get("conversation_id") or c.get("id") or c.get("chat_id") or "") or None
-                    ms = parse(c)
-                    title = c.get("title") or c.get("name") or next((m["text"].strip().split("\n")[0][:80] for m in ms if m["role"] == "user" and m["text"].strip()), None)
-                    rows += [m | {"conversation_id": cid, "source": source, "title": title} for m in ms]
-            yield _batch(rows)
 
-    return records.mapInArrow(run, ROWS)
+def _elements(spark: SparkSession, path) -> DataFrame:
+    """rec: the elements, as JSON texts, of files that hold an array; each file is read in pieces by one task."""
 
+    def run(batches):
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                rows, size = [], 0
+                for x in array_elements(chunks_of(p)):
+                    rows.append(x)
+                    size += len(x)
+                    if size > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["rec"])
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["rec"])
 
-def _elements(spark: SparkSession, path: str) -> DataFrame:
-    """rec: the elements, as JSON texts, of files that hold an array, alone or under a usual name; a mark of order is skipped."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("v"))
-    tree = F.try_parse_json("v")
-    arrays = [F.try_variant_get(tree, p, "array<variant>") for p in ("$", "$.conversations", "$.data", "$.items", "$.activity")]
-    return whole.select(F.explode(F.coalesce(*arrays)).alias("x")).select(F.to_json("x").alias("rec"))
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "rec string")
 
 
 def read_tree_export(spark, path):
@@ -239,9 +317,26 @@ def read_fragment_export(spark, path):
 
 
 def read_ndjson_export(spark, path):
-    """One conversation per line. Lines without an id get one from their text, so that it doesn't depend on the order."""
-    got = _conversations(spark.read.text(path).select(F.col("value").alias("rec")), "gemini", ndjson_conversation)
-    return got.withColumn("conversation_id", F.coalesce("conversation_id", F.concat(F.lit("gemini-"), F.substring(F.sha2(F.concat_ws("|", "title", F.coalesce("text", F.lit(""))), 256), 1, 16))))
+    """One conversation per line. Lines without an id get one from their text; lines of one id are numbered on, in the order of
+    the files."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    got = lines.select(F.to_json(F.struct("line", "value")).alias("rec"))
+
+    def parse(batches):
+        for b in batches:
+            keyed = [json.loads(x) for x in b.column(0).to_pylist()]
+            for k in keyed:
+                part = pa.RecordBatch.from_arrays([pa.array([k.get("value")], pa.string())], names=["rec"])
+                for out in _parse_records([part], "gemini", ndjson_conversation, "gemini-"):
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array([k["line"]] * out.num_rows, pa.int64())], names=[*_FIELDS, "line"])
+
+    rows = got.mapInArrow(parse, ROWS + ", line long")
+    sizes = rows.groupBy("conversation_id", "line").agg(F.count("*").alias("n"))
+    from pyspark.sql import Window
+
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("conversation_id").orderBy("line")) - F.col("n")).where("before > 0").drop("n")
+    rows = rows.join(before, ["conversation_id", "line"], "left")
+    return rows.withColumn("message_index", (F.col("message_index") + F.coalesce("before", F.lit(0))).cast("int")).select(*_FIELDS)
 
 
 def _items(records: DataFrame, parse) -> DataFrame:
@@ -291,32 +386,64 @@ def kind_of(path, head):
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, kind, size and sha256 of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", kind_of(F.col("path"), F.decode(F.substring("content", 1, 2_097_152), "UTF-8")).alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """path, kind, size and sha256 of every file below a folder; each is read in pieces, its first 2 MiB tell the kind."""
+
+    def run(batches):
+        for b in batches:
+            heads, sums = [], []
+            for p in b.column(0).to_pylist():
+                digest, head = hashlib.sha256(), b""
+                with open_input(p) as f:
+                    while piece := f.read(1 << 20):
+                        digest.update(piece)
+                        head += piece if len(head) < 2_097_152 else b""
+                heads.append(head[:2_097_152].decode("utf-8", "replace"))
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, pa.string()), pa.array(sums, pa.string())], names=["path", "size", "head", "sha256"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
+    return files.mapInArrow(run, "path string, size long, head string, sha256 string").select("path", kind_of(F.col("path"), F.col("head")).alias("kind"), "size", "sha256")
+
+
+def read_exports(spark: SparkSession, root: str, offset: float = 8.0) -> DataFrame:
+    """Message rows of all exports below a folder, each file by the reader of its kind; files of no known kind are left out. The
+    driver sees one row a file."""
+    readers = {"tree": read_tree_export, "fragment": read_fragment_export, "ndjson": read_ndjson_export, "activity_html": lambda s, p: read_activity_html(s, p, offset), "activity_json": read_activity_json}
+    paths: dict[str, list[str]] = {}
+    for r in discover(spark, root).select("path", "kind").collect():
+        paths.setdefault(r.kind, []).append(r.path)
+    parts = [read(spark, sorted(paths[kind])) for kind, read in readers.items() if kind in paths]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ROWS)
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """path, member, text of the members of zip and tar archives that end with `suffix`; one archive per task."""
-    import io
+    """path, member, text of the members of zip and tar archives that end with `suffix`; one archive per task, opened where it
+    lies and read member by member."""
     import tarfile
     import zipfile
 
+    def members(f):
+        if zipfile.is_zipfile(f):
+            f.seek(0)
+            with zipfile.ZipFile(f) as z:
+                for n in z.namelist():
+                    if n.endswith(suffix):
+                        yield n, z.read(n)
+        else:
+            f.seek(0)
+            with tarfile.open(fileobj=f) as z:
+                for i in z:
+                    if i.isfile() and i.name.endswith(suffix):
+                        yield i.name, z.extractfile(i).read()
+
     def run(batches):
         for b in batches:
-            rows = []
-            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                buf = io.BytesIO(raw)
-                if zipfile.is_zipfile(buf):
-                    with zipfile.ZipFile(buf) as z:
-                        rows += [(p, n, z.read(n).decode("utf-8-sig", "replace")) for n in z.namelist() if n.endswith(suffix)]
-                else:
-                    buf.seek(0)
-                    with tarfile.open(fileobj=buf) as z:
-                        rows += [(p, i.name, z.extractfile(i).read().decode("utf-8-sig", "replace")) for i in z if i.isfile() and i.name.endswith(suffix)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["path", "member", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, text string")
+            for p in b.column(0).to_pylist():
+                with open_input(p) as f:
+                    for n, raw in members(f):
+                        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (p, n, raw.decode("utf-8-sig", "replace"))], names=["path", "member", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "path string, member string, text string")
 
 
 def read_lexicon(spark: SparkSession, path: str, least: int = 2, least_ascii: int = 3) -> DataFrame:

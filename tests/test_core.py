@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chatlode.functions.text import INVISIBLE, blank, letters_key, role, with_one_width
-from chatlode.operators import relations
 from chatlode.operators import search as search_ops
 from chatlode.operators.relations import as_of
+from chatlode.operators import timestamps
 from chatlode.operators.timestamps import normalize_timestamps
 from chatlode.plans import archive
 from chatlode.sources import exports, sinks
@@ -59,31 +59,57 @@ def test_query_equals_sql(spark, sf, duck, name):
 def long_conversation(tmp_path_factory):
     """A folder with 2,600 messages in one conversation, answers alone from index 900 on; 30 rows without an index; rows without a conversation."""
     at = tmp_path_factory.mktemp("long")
-    rows = [(i + 1, "long", "utc", i, "user" if i < 900 and i % 2 == 0 else "assistant", f"2024-01-01T00:{i // 60:02}:{i % 60:02}+00:00" if i < 900 and i % 2 == 0 else None, "x" * (i % 3)) for i in range(2600)]
-    rows += [(3000 + i, "long" if i % 2 else "bare", "utc", None, "assistant", None, "no index") for i in range(30)] + [(4000 + i, None, "utc", i, "user", None, "alone") for i in range(1200)]
+    rows = [(i + 1, "long", "utc", i, "user" if i < 900 and i % 2 == 0 else "assistant", f"01/02/2024 00:{i // 60:02}:{i % 60:02} UTC" if i < 900 and i % 2 == 0 else None, "native", "x" * (i % 3)) for i in range(2600)]
+    rows += [(3000 + i, "long" if i % 2 else "bare", "utc", None, "assistant", None, "native", "no index") for i in range(30)] + [(4000 + i, None, "utc", i, "user", None, None, "alone") for i in range(1200)]
     c = duckdb.connect()
-    c.execute("create table m (id bigint, conversation_id varchar, source varchar, message_index int, role varchar, timestamp varchar, text varchar)")
-    c.executemany("insert into m values (?, ?, ?, ?, ?, ?, ?)", rows)
-    c.execute(f"copy m to '{at}/messages.parquet' (format parquet)")
-    c.execute(f"create view messages as select * from '{at}/messages.parquet'")
+    c.execute("create table m (id bigint, conversation_id varchar, source varchar, message_index int, role varchar, timestamp varchar, timestamp_source varchar, text varchar)")
+    c.executemany("insert into m values (?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    c.execute("create table s as select 'utc' as source, 'native' as timestamp_source, 'UTC' as home_zone, 'dmy' as date_order")
+    c.execute("create table z as select 'UTC' as abbrev, 0 as offset_minutes")
+    for t, name in (("m", "messages"), ("s", "export_sources"), ("z", "zone_abbrevs")):
+        c.execute(f"copy {t} to '{at}/{name}.parquet' (format parquet)")
+        c.execute(f"create view {name} as select * from '{at}/{name}.parquet'")
     return str(at), c
 
 
-@pytest.mark.parametrize("name", ["w9_digest_sample", "w10_char_budget"])
-def test_digests_without_horizon_see_every_message(spark, long_conversation, name):
+@pytest.mark.parametrize("name", ["w9_digest_sample", "w10_char_budget", "j9_inferred_times", "f17_cut_view"])
+def test_long_conversations_equal_sql(spark, long_conversation, name):
     d, c = long_conversation
-    sql = archive.oracle_sql()[name].replace("message_index < 500 AND ", "").replace("ORDER BY message_index, id", "ORDER BY message_index NULLS FIRST, id")
-    f = {"w9_digest_sample": relations.digest_sample, "w10_char_budget": relations.char_budget}[name]
-    assert "500" not in sql and sorted(map(tuple, f(spark, d, horizon=None).collect()), key=repr) == sorted(c.execute(sql).fetchall(), key=repr)
-    assert sorted(map(tuple, f(spark, d).collect()), key=repr) == sorted(c.execute(archive.oracle_sql()[name]).fetchall(), key=repr)
+    df = archive.queries()[name](spark, d)
+    cols = sorted(df.columns)
+    got = sorted((tuple(r[x] for x in cols) for r in df.collect()), key=repr)
+    cur = c.execute(archive.oracle_sql()[name])
+    names = [x[0] for x in cur.description]
+    assert got == sorted((tuple(r[names.index(x)] for x in cols) for r in cur.fetchall()), key=repr)
+    if name == "j9_inferred_times":
+        assert dict((i, at) for at, i in got)[2600] == "2024-02-01 00:14:58"  # from 1,700 indexes before
 
 
-def test_inferred_times_pass_on_from_block_to_block(spark, long_conversation):
-    d, c = long_conversation
-    sql = archive.oracle_sql()["j9_inferred_times"].replace(", CAST(floor(message_index / 1000) AS BIGINT)", "")
-    want = dict(c.execute(sql).fetchall()) | {3000 + i: None for i in range(30)}
-    got = dict(map(tuple, relations.inferred_times(spark, d, whole=True).collect()))
-    assert got == want and got[2600] == "2024-01-01 00:14:58"
+@pytest.mark.parametrize("name", sorted(set(archive.queries()) - set(archive.oracle_sql())))
+def test_queries_without_sql_run(spark, sf, name):
+    assert archive.queries()[name](spark, sf).count() > 0
+
+
+def test_mixture_is_the_same_at_every_size():
+    """The declared order weighs in proportion; a source without one is read by its evidence."""
+    import pandas as pd
+
+    def weights(n, declared):
+        got = timestamps._mixture(pd.DataFrame({"source": "s", "timestamp_source": "t", "declared": [declared] * 2, "readings": ["dmy:1.0", "dmy:1.0|mdy:1.0"], "n": [n, n]}), 10.0, 25)
+        return json.loads(got.weights[0])
+
+    for n in (10_000, 3_000_000):
+        w = weights(n, "mdy")
+        assert abs(w["mdy"] / (w["mdy"] + w["dmy"]) - 20 / 21) < 1e-3
+        w = weights(n, None)
+        assert w["dmy"] / (w["mdy"] + w["dmy"]) > 0.99
+
+
+def test_unresolved_times_are_marked(spark):
+    rows = [("free", "03/04/2024 10:00:00 UTC"), ("free", "2024-01-01 10:00:00"), ("free", "1749299911726"), ("free", "1749299911"), ("free", "999")]
+    got = {r["id"]: r for r in _stamp(spark, rows).collect()}
+    assert [got[i]["ambiguous"] for i in range(5)] == [True, True, False, False, False]
+    assert [got[i]["format"] for i in (2, 3)] == ["milliseconds", "seconds"] and got[4]["utc_us"] is None
 
 
 def test_entry_and_registry(spark):
@@ -205,6 +231,37 @@ def test_fragment_export(spark, tmp_path):
     assert (b.role, b.text, b.thinking, b.attachments, b.model) == ("assistant", "r", "t", ["search:3", "tool_open"], "x")
 
 
+def test_ndjson_ids_and_numbers(spark, tmp_path):
+    """Turns of a line without an id stay together; lines of one id are numbered on."""
+    lines = [{"turns": [{"role": "user", "text": "a"}, {"role": "model", "text": "b"}]}, {"id": "k", "turns": ["x", "y"]}, {"id": "k", "turns": ["z"]}]
+    rows = exports.read_ndjson_export(spark, _write(tmp_path / "g.ndjson", "\n".join(map(json.dumps, lines)))).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.conversation_id, []).append((r.message_index, r.text))
+    assert sorted(by.pop("k")) == [(0, "x"), (1, "y"), (2, "z")]
+    assert [sorted(v) for v in by.values()] == [[(0, "a"), (1, "b")]]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_array_elements(size):
+    items = [{"a": 'x"],[{', "b": [1, {"c": "\\"}]}, 5, "te,xt", [], {"conversations": [9]}]
+    for text in (json.dumps(items), json.dumps({"name": "items", "data": items, "z": [1]}, indent=1)):
+        pieces = [text[i : i + size] for i in range(0, len(text), size)]
+        assert [json.loads(x) for x in exports.array_elements(pieces)] == items
+        with pytest.raises(ValueError):
+            list(exports.array_elements([text[: len(text) // 2]]))
+    assert list(exports.array_elements(["[ ]"])) == []
+
+
+def test_dispatch_by_kind(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    tree = [{"id": "t", "mapping": {"r": {"message": {"author": {"role": "user"}, "create_time": 1, "content": {"parts": ["hi"]}}}}}]
+    _write(tmp_path / "in" / "conversations.json", "\ufeff" + json.dumps(tree))
+    _write(tmp_path / "in" / "sub" / "g.ndjson", json.dumps({"id": "n", "turns": ["yo"]}))
+    _write(tmp_path / "in" / "notes.txt", "nothing")
+    assert sorted((r.conversation_id, r.text) for r in exports.read_exports(spark, str(tmp_path / "in")).collect()) == [("n", "yo"), ("t", "hi")]
+
+
 def test_ndjson_export(spark, tmp_path):
     lines = [{"chat_id": "n1", "turns": [{"author": "Human", "body": "first line\nmore", "time": 5}, {"sender": "bot", "markdown": "yes"}]}, {"title": "t", "messages": {"10": {"role": "me", "text": "b"}, "2": {"role": "ai", "text": "a"}}}]
     rows = exports.read_ndjson_export(spark, _write(tmp_path / "g.ndjson", "\n".join(map(json.dumps, lines)) + "\nno json\n")).collect()
