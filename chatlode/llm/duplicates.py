@@ -106,6 +106,7 @@ def collapse(records: DataFrame, every: bool = False) -> DataFrame:
     """
     keyed = records.where(F.col("key").isNotNull()).select(F.xxhash64("kind", "key").alias("digest"), "kind", "key", "rec", "rec_long")
     order = ["digest", "kind", "key", "rec_long", "rec"]
+    keyed = checkpointed(keyed)  # the range partition looks at its input twice: for its bounds and for the rows
     runs = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_scan, every=every), _OUT)
     runs = checkpointed(runs)  # copies and two rows a partition; the shuffle behind it runs once
     edges = runs.where("edge").groupBy("digest", "kind", "key").agg(F.min(F.struct("first_long", "first_id")).alias("true"), F.count("*").alias("parts")).where("parts > 1").select(F.col("digest").alias("e_digest"), F.col("kind").alias("e_kind"), F.col("key").alias("e_key"), "true")

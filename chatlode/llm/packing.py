@@ -202,7 +202,7 @@ def pack(items: DataFrame, windows: DataFrame) -> DataFrame:
 
     hist = rest.groupBy("window_name", "capacity", "rest").agg(F.count("*").alias("n"))  # at most `capacity` rows a window
     plans: dict[str, list] = {}
-    rows = hist.groupBy("window_name").applyInPandas(_plans, _PLAN).limit(PLAN_ROWS + 1).collect()
+    rows = hist.repartition(len(caps), "window_name").groupBy("window_name").applyInPandas(_plans, _PLAN).limit(PLAN_ROWS + 1).collect()
     if len(rows) > PLAN_ROWS:
         raise ValueError(f"the plans have more than {PLAN_ROWS} rows")
     for r in rows:

@@ -4,7 +4,8 @@ A text is cut into blocks (headings, list items, paragraphs; fenced code is left
 sentence may end form a lattice: runs of terminators outside quotations and brackets, closers of quotations and brackets
 that hold a terminator, and, in Thai, spaces. Each place is an edge to keep or drop, decided by what stands before it
 (abbreviations, ordinals, initials, final particles) and after it (case, opening words, particles that carry a sentence on).
-Runs of spaceless script around a gap are read by a dictionary word lattice, so that particles count as words only.
+The whole run of spaceless script before or behind a gap is read by a dictionary word lattice, so that particles count as
+words only.
 """
 
 from __future__ import annotations
@@ -97,6 +98,20 @@ def lattice(run: str) -> list[str]:
     return out[::-1]
 
 
+def _run_start(t: str, a: int, p: int, scripts: tuple[str, ...]) -> int:
+    """Start of the run of these scripts that ends before `p`."""
+    while p > a and _script(t[p - 1]) in scripts:
+        p -= 1
+    return p
+
+
+def _run_end(t: str, k: int, b: int, scripts: tuple[str, ...]) -> int:
+    """End of the run of these scripts that begins at `k`."""
+    while k < b and _script(t[k]) in scripts:
+        k += 1
+    return k
+
+
 def _pairs(t: str, a: int, b: int, marks: list[tuple[int, str]]) -> dict[int, int]:
     """Places of opening marks with those of their closers; marks without a partner in the block are left out."""
     got, stack = {}, []
@@ -176,10 +191,7 @@ def _ellipsis_ends(t: str, a: int, b: int, i: int, j: int, k: int) -> bool:
         p -= 1
     before = t[p - 1] if p > a else ""
     if before and _script(before) in ("han", "ja"):
-        run = t[max(a, p - 12) : p]
-        while run and _script(run[0]) not in ("han", "ja"):
-            run = run[1:]
-        words = lattice(run)
+        words = lattice(t[_run_start(t, a, p, ("han", "ja")) : p])
         return bool(words) and (words[-1] in ZH_FINAL or "".join(words).endswith(JA_FINAL) and _script(before) == "ja")
     if before and _script(before) == "th":
         return True
@@ -198,9 +210,9 @@ def _closer_ends(t: str, a: int, b: int, start: int, o: int, j: int, k: int, str
     if after in ("han", "ja"):
         if t[o] in ROUND:
             return leads
-        run = t[k : min(b, k + 8)]
+        run = t[k : _run_end(t, k, b, ("han", "ja"))]
         words = lattice(run)
-        if _script(t[k]) == "ja" or any("぀" <= c < "㄀" for c in t[max(a, o) : min(b, k + 8)]):
+        if any("぀" <= c < "㄀" for c in run) or any("぀" <= c < "㄀" for c in t[o:j]):
             return words[0] not in JA_ON
         if words[0] == "就" and k + 1 < b and t[k + 1].isascii():
             return True  # "as for X", an opening
@@ -262,8 +274,7 @@ def _block(t: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
             prev, nxt = t[i - 1], t[e]
             if _script(prev) == "mark" and prev not in "ฯๆ)”\"'" and unicodedata.category(prev)[0] != "M":
                 continue
-            run = t[e : min(b, e + 12)]
-            if _script(nxt) == "th" and lattice(run)[0] in TH_ON:
+            if _script(nxt) == "th" and lattice(t[e : _run_end(t, e, b, ("th",))])[0] in TH_ON:
                 continue
             cut(e)
             continue

@@ -1,11 +1,13 @@
 """Subject areas of conversations: one-versus-rest linear classifiers on hashed word n-grams.
 
-A prompt is cut into sentences; codes, and sentences that mark themselves as a passing remark, are left out. A classifier per
-subject scores each sentence, a conversation has the subjects that one of its sentences reaches the subject's
-threshold for. The classifiers are fitted on the driver on a bounded sample: conversations with true labels, and
-conversations with weak labels, which follow from the section metadata they were filed under (the coarse kind, and how
-the labelled conversations spread over each kind) together with the seed classifiers. Thresholds are calibrated by
-cross-fitting on the labelled ones. Scoring is one narrow pass over all messages with a fixed-size weight matrix.
+A prompt is cut into sentences, codes left out. A classifier per subject scores each sentence, and one more tells the
+sentences that only mention a subject in passing, which lowers their scores; a conversation has the subjects that one of
+its sentences reaches the subject's threshold for. All are fitted on the driver on a bounded sample: conversations with
+true labels, the subjects' descriptions, and conversations with weak labels, which follow from the section metadata they
+were filed under (the coarse kind, and how the labelled conversations spread over each kind) together with the seed
+classifiers. What is said in passing is learned from sentences that classifiers fitted on other conversations give a
+subject that their own conversation lacks. Thresholds are calibrated by cross-fitting on the labelled ones. Scoring is one
+narrow pass over all messages with a fixed-size weight matrix.
 """
 
 from __future__ import annotations
@@ -27,12 +29,6 @@ from chatlode.session import table
 BUCKETS = 1 << 17
 LABELLED, WEAK, ROWS = 10_000, 8_000, 60_000
 
-# Lead-ins of passing remarks and apologies, after which a topic is only mentioned.
-REMARK = re.compile(
-    r"by the way|sorry for the (?:late|delay)|sorry to|kept me busy|talking about|still tired|off topic|unrelated|incidentally|übrigens|nebenbei|entschuldig|sorry für|aufgehalten|gesprochen|au fait|d'ailleurs|désolée? pour|désolé de|toute la matinée|por cierto|perdona|disculpa|toda la mañana"
-    r"|顺便|抱歉|对不起|题外|不好意思|ちなみに|ところで|すみません|遅くなって|話で忙し|余談",
-    re.I,
-)
 _SENT = re.compile(r"[^.!?。！？\n]+[.!?。！？\n]*")
 _CODE = re.compile(r"`[^`\n]*`|[#*]?[!-~]*\d[!-~]*|\S+@\S+|\bjob-\S+|\S+\.log\b")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -46,10 +42,9 @@ def units(text: str) -> list[str]:
     t = re.sub(r"(?<=[^\W\d_]),?[ \t]*\r?\n[ \t]*(?=[^\W\d_])", lambda m: " " if "\n" in m[0] else m[0], t)
     out = []
     for s in _SENT.findall(t):
-        if not REMARK.search(s):
-            s = " ".join(_CODE.sub(" ", s).split())
-            if len(s) > 2:
-                out.append(s)
+        s = " ".join(_CODE.sub(" ", s).split())
+        if len(s) > 2:
+            out.append(s)
     return out
 
 
@@ -146,14 +141,39 @@ def _train(convs: list[tuple[list[str], set[int], float]], classes: int, memo: d
     return model
 
 
-def _best(model: Linear, texts: list[str], memo: dict) -> np.ndarray:
-    if not texts:
-        return np.full(len(model.b), -9.0)
-    return np.max([model.score(memo.get(u) or memo.setdefault(u, grams(u))) for u in texts], axis=0)
+#: What a sentence that is said in passing loses: PASSING times its score for that, from -MARGIN on.
+PASSING, MARGIN = 2.0, 1.0
+
+
+def _passing(part: list, classes: int, memo: dict, folds: int = 2, least: float = -1.0) -> Linear:
+    """A classifier of sentences that only mention a subject: those that classifiers fitted on other conversations give a subject
+    which their own conversation lacks, against those whose subject it has."""
+    seen: dict[str, list[int]] = {}
+    for k in range(folds):
+        model = _train([(t, s, 1.0) for i, (t, s, _) in enumerate(part) if i % folds != k], classes, memo)
+        for sents, subjects, _ in part[k::folds]:
+            for u in set(sents):
+                if row := memo.get(u) or memo.setdefault(u, grams(u)):
+                    s = model.score(row)
+                    top = int(s.argmax())
+                    if s[top] >= least:
+                        seen.setdefault(u, [0, 0])[top in subjects] += 1
+    n = np.array([sum(x) for x in seen.values()], np.float32).reshape(-1)
+    y = np.array([[x[0] / sum(x)] for x in seen.values()], np.float32).reshape(-1, 1)
+    return Linear(1).fit([memo[u] for u in seen], y, np.minimum(n, 4), epochs=8) if seen else Linear(1)
+
+
+def _best(model: Linear, aside: Linear, texts: list[str], memo: dict) -> np.ndarray:
+    out = np.full(len(model.b), -9.0)
+    for u in texts:
+        if row := memo.get(u) or memo.setdefault(u, grams(u)):
+            out = np.maximum(out, model.score(row) - PASSING * max(0.0, float(aside.score(row)[0]) + MARGIN))
+    return out
 
 
-def fit(labelled: list[tuple[list[str], set[int], str | None]], weak: list[tuple[list[str], str | None]], classes: int, folds: int = 2) -> tuple[Linear, np.ndarray]:
-    """(model, thresholds). `labelled`: sentences, subjects and kind of each conversation; `weak`: sentences and kind."""
+def fit(labelled: list[tuple[list[str], set[int], str | None]], weak: list[tuple[list[str], str | None]], classes: int, folds: int = 2, described: list[tuple[list[str], set[int], float]] = ()) -> tuple[Linear, Linear, np.ndarray]:
+    """(model, model of what is said in passing, thresholds). `labelled`: sentences, subjects and kind of each conversation;
+    `weak`: sentences and kind; `described`: sentences of the subjects' descriptions."""
     memo: dict[str, list[int]] = {}
     kinds: dict[str, np.ndarray] = {}
     for _, subjects, kind in labelled:
@@ -163,27 +183,28 @@ def fit(labelled: list[tuple[list[str], set[int], str | None]], weak: list[tuple
 
     def whole(part):
         """Seed on true labels, then with the weak ones it is sure of and the kind allows."""
-        base = [(t, s, 1.0) for t, s, _ in part]
+        base = [(t, s, 1.0) for t, s, _ in part] + list(described)
+        aside = _passing(part, classes, memo)
         seed = _train(base, classes, memo)
         more = []
         for texts, kind in weak:
             prior = kinds.get(kind or "", np.ones(classes))
             prior = np.log(prior / prior.sum() * classes)
-            s = _best(seed, texts, memo) + 0.5 * prior
+            s = _best(seed, aside, texts, memo) + 0.5 * prior
             top = int(s.argmax())
             found = set(np.flatnonzero(s > 0.5).tolist())
             if not found and s[top] > -1.0 and prior[top] > 0.5:
                 found = {top}
             if found:
                 more.append((texts, found, 0.5))
-        return _train(base + more, classes, memo) if more else seed
+        return (_train(base + more, classes, memo) if more else seed), aside
 
     held = np.zeros((len(labelled), classes))
     if len(labelled) >= 40:
         for k in range(folds):
-            model = whole([x for i, x in enumerate(labelled) if i % folds != k])
+            model, aside = whole([x for i, x in enumerate(labelled) if i % folds != k])
             for i in range(k, len(labelled), folds):
-                held[i] = _best(model, labelled[i][0], memo)
+                held[i] = _best(model, aside, labelled[i][0], memo)
     truth = np.array([[c in s for c in range(classes)] for _, s, _ in labelled], bool).reshape(-1, classes)
     cuts = np.zeros(classes)
     for c in range(classes):
@@ -194,8 +215,9 @@ def fit(labelled: list[tuple[list[str], set[int], str | None]], weak: list[tuple
             f1 = 2 * hit / max(1, got.sum() + truth[:, c].sum())
             if f1 > best[0] + 1e-9:
                 best = (f1, cut)
+        # The models of the folds see less than the last one and are less sure: the cut moves towards 0.2, where they agree.
         cuts[c] = (best[1] + 0.3) / 1.3 if len(labelled) >= 40 else 0.0
-    return whole(labelled), cuts
+    return (*whole(labelled), cuts)
 
 
 def _sample(messages: DataFrame, analysis: DataFrame, labels: DataFrame, names: list[str]):
@@ -208,9 +230,9 @@ def _sample(messages: DataFrame, analysis: DataFrame, labels: DataFrame, names:
     true = known.join(kinds, "conversation_id", "left")
     weak = kinds.join(known, "conversation_id", "left_anti").orderBy(F.xxhash64("conversation_id")).limit(WEAK)
     out = []
-    for rows in (true, weak):
+    for rows in (true, weak):  # bounded by their limits, so that they can be broadcast and no text is shuffled
         cols = ["conversation_id", "kind"] + (["subjects"] if "subjects" in rows.columns else [])
-        got = prompts.join(rows.select(*cols), "conversation_id").limit(ROWS).collect()
+        got = prompts.join(F.broadcast(rows.select(*cols)), "conversation_id").orderBy(F.xxhash64("conversation_id", "text"), "conversation_id", "text").limit(ROWS).collect()
         convs: dict[str, list] = {}
         for r in got:
             convs.setdefault(r["conversation_id"], [[], {at[s] for s in (r["subjects"] if "subjects" in cols else []) if s in at}, r["kind"]])[0].extend(units(r["text"]))
@@ -226,9 +248,12 @@ def assign(messages: DataFrame, analysis: DataFrame, labels: DataFrame, subjects
     """
     names = sorted(r[0] for r in subjects.select("subject").where("subject is not null").distinct().limit(1000).collect())
     labelled, weak = _sample(messages, analysis, labels, names)
-    model, cuts = fit(labelled, weak, len(names))
-    used = np.flatnonzero(np.any(model.w != 0, axis=1))
-    weights, bias = model.w[used].astype(np.float16), model.b
+    told = {r[0]: r[1] for r in subjects.groupBy("subject").agg(F.first("description")).limit(1000).collect()} if "description" in subjects.columns else {}
+    described = [(units(told[n]), {k}, 1.0) for k, n in enumerate(names) if told.get(n)]
+    model, aside, cuts = fit(labelled, weak, len(names), described=described)
+    both = np.concatenate([model.w, aside.w], axis=1)
+    used = np.flatnonzero(np.any(both != 0, axis=1))
+    weights, bias = both[used].astype(np.float16), np.concatenate([model.b, aside.b])
     sc = messages.sparkSession.sparkContext
     shipped = sc.broadcast((used.astype(np.int32), weights, bias, cuts))  # at most BUCKETS rows
 
@@ -250,7 +275,7 @@ def assign(messages: DataFrame, analysis: DataFrame, labels: DataFrame, subjects
                         m = 0
                         if g:
                             s = full[g].sum(0) / np.sqrt(len(g)) + bias
-                            for k in np.flatnonzero(s >= cuts):
+                            for k in np.flatnonzero(s[:-1] - PASSING * max(0.0, float(s[-1]) + MARGIN) >= cuts):
                                 m |= 1 << int(k)
                         seen[u] = m
                     got |= m

@@ -95,11 +95,13 @@ def test_pii(spark):
 
 
 def test_pii_skip_links_join_distant_mentions():
-    f = pii.Field(WORDS)
-    far = "My name is Corwin Ashgrove. " + "A short table with dates helps. " * 40
-    alone = [s for s in f.spans("A. Ashgrove came. " + "It helps. " * 40)]
-    linked = [s for s in f.spans(far + "Then A. Ashgrove came.")]
-    assert len(linked) >= 1 and len(linked) >= len(alone)
+    """A mention too weak on its own takes the label of a strong one that shares its words, however far; others don't."""
+    f = pii.Field([])
+    far, weak = "A short table with dates helps. " * 40, "\nCorwin Ashgrove\n"
+    named = lambda t: [t[a:b] for a, b, k in f.spans(t) if k == "name"]
+    assert named(far + weak) == []
+    assert named("My name is Corwin Ashgrove. " + far + weak) == ["Corwin Ashgrove"] * 2
+    assert named("My name is Nadia Corbeau. " + far + weak) == ["Nadia Corbeau"]
 
 
 STREETS = ["14 Orchard Close", "27 Station Way", "3 Willow Walk", "12 Elm Ct, Dayton", "88 Market Sq", "5 Birch Pl.", "18 Maple Dr, Ohio", "Auf dem Hügel 12", "An den Eichen 5", "12bis rue des Lilas", "東京都中央区銀座4-2-11", "Hauptstraße\u00a012"]
@@ -229,17 +231,32 @@ def test_subjects_held_out():
     for _ in range(240):
         ss = set(rng.sample(range(3), rng.choice((1, 1, 1, 2))))
         data.append(([x for s in ss for x in say(s)], ss, None))
-    model, cuts = subjects.fit(data[:180], [], 3)
+    *model, cuts = subjects.fit(data[:180], [], 3)
     memo, hit, miss = {}, 0, 0
     for texts, ss, _ in data[180:]:
-        got = {c for c in range(3) if subjects._best(model, texts, memo)[c] >= cuts[c]}
+        got = {c for c in range(3) if subjects._best(*model, texts, memo)[c] >= cuts[c]}
         hit += len(got & ss)
         miss += len(got ^ ss)
     assert hit / (hit + miss / 2) > 0.95
 
 
+def test_subjects_in_passing_are_learned():
+    """What frames a passing remark is told from labels alone, for words that were never seen in one."""
+    rng = random.Random(4)
+    words = {0: "parser branch cache index module".split(), 1: "goalkeeper marathon racket referee pitch".split(), 2: "oven dough broth glaze knife".split()}
+    data = []
+    for _ in range(400):
+        s, o = rng.sample(range(3), 2)
+        data.append(([f"why does the {rng.choice(words[s])} go wrong in my note?"] + [f"by the way, the {rng.choice(words[o])} kept me busy all day."] * (rng.random() < 0.5), {s}, None))
+    *model, cuts = subjects.fit(data[:300], [], 3)
+    memo, wrong = {}, 0
+    for texts, ss, _ in data[300:]:
+        wrong += {c for c in range(3) if subjects._best(*model, texts, memo)[c] >= cuts[c]} != ss
+    assert wrong <= 5
+
+
 def test_subjects_units_and_empty(spark, sf):
-    assert subjects.units("By the way, I was busy with the oven. Why does the parser fail in job-x12?") == ["why does the parser fail in"]
+    assert subjects.units("By the way, I was busy with the oven. Why does the parser fail in job-x12?") == ["by the way, i was busy with the oven.", "why does the parser fail in"]
     m, a, l, s = (table(spark, sf, t) for t in ("messages", "analysis", "subject_labels", "subjects"))
     assert subjects.assign(m.where("false"), a.where("false"), l.where("false"), s).count() == 0
     got = subjects.assign(m, a, l, s).toPandas()
