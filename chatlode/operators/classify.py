@@ -33,6 +33,7 @@ STOP = (
     "什么 怎么 可以 这个 那个 现在 如果 就是 没有 但是 因为 所以 一个 我们 你们 他们 自己 这样 那样 还是 已经 应该 需要 可能 知道 问题 使用 进行 通过 以及 或者 然后 时候 一下 不是 不能 如何 哪些 为什么 请问 "
     "帮我 给我 看看 这里 那里 这些 那些 感觉 觉得 任何 the and for you are with that this have from not but can will how what when was were has its it's about would could should there their been"
 ).split()
+STOPS_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
 # Words that tell of errors.
 ERRORS = "报错|错误|失败|崩溃|异常|无法|不能|不对|Error|Traceback|Exception|failed|failure|bug"
 TABLED = r"(?m)^[ \t]*\|.*\|[ \t\r]*$"
@@ -136,13 +137,12 @@ def value_kind(spark, d):
 
 
 _TOKENS = r"[\x{4E00}-\x{9FFF}]{2,6}|[A-Za-z][A-Za-z0-9_+#.-]{2,}"
-_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
 
 
 @query(
     "h9_topics",
     f"WITH t AS (SELECT conversation_id, text AS t FROM {R} WHERE rl = 'user' AND conversation_id IS NOT NULL UNION ALL SELECT conversation_id, title FROM (SELECT conversation_id, min(title) AS title FROM conversations WHERE conversation_id IN (SELECT conversation_id FROM messages) GROUP BY 1)), "
-    f"w AS (SELECT conversation_id, lower(unnest(regexp_extract_all(t, '{_TOKENS}'))) AS term FROM t), c AS (SELECT conversation_id, term, count(*) AS n FROM w WHERE term NOT IN ({_STOPS}) GROUP BY 1, 2), "
+    f"w AS (SELECT conversation_id, lower(unnest(regexp_extract_all(t, '{_TOKENS}'))) AS term FROM t), c AS (SELECT conversation_id, term, count(*) AS n FROM w WHERE term NOT IN ({STOPS_SQL}) GROUP BY 1, 2), "
     "s AS (SELECT c.*, n + CASE WHEN contains(lower(coalesce(title, '')), term) THEN 3 ELSE 0 END AS score FROM c LEFT JOIN (SELECT conversation_id, min(title) AS title FROM conversations GROUP BY 1) x USING (conversation_id)), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY score DESC, term DESC) AS r FROM s) "
     "SELECT conversation_id, CAST(r AS INTEGER) AS r, substr(term, 1, 24) AS term, n FROM r WHERE r <= 5 "

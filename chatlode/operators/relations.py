@@ -109,8 +109,9 @@ def inferred_times(spark, d, block=1000):
 
 @query("w5_created_updated", f"SELECT conversation_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated FROM {M} GROUP BY conversation_id")
 def created_updated(spark, d):
-    m = timeutil.messages(spark, d)
-    return m.groupBy("conversation_id").agg(timeutil.text_of(F.min("ts")).alias("created"), timeutil.text_of(F.max("ts")).alias("updated"))
+    from chatlode.operators.stats import rollup
+
+    return rollup(spark, d).groupBy("conversation_id").agg(timeutil.text_of(F.min("lo")).alias("created"), timeutil.text_of(F.max("hi")).alias("updated"))
 
 
 @query("w7_best_analysis", "SELECT conversation_id, prompt_version, CAST(value AS INTEGER) AS value FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY prompt_version DESC NULLS LAST, analyzed_at DESC NULLS LAST, value DESC NULLS LAST) AS r FROM analysis) WHERE r = 1")

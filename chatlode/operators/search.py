@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlode.functions import text, timeutil
+from chatlode.operators.classify import STOP, STOPS_SQL
 from chatlode.operators.registry import MESSAGES_SQL as M
 from chatlode.operators.registry import ROLES_SQL as R
 from chatlode.operators.registry import query
@@ -142,11 +143,12 @@ def cooccurrence(spark, d, a="login endpoint", b="build cache"):
 _WORDS = r"[A-Za-z][A-Za-z0-9_+#.-]{2,}"
 
 
-@query("a15_terms", f"WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '{_WORDS}'))) AS term FROM messages) SELECT term, count(*) AS n FROM w WHERE term NOT IN ('the','and','for','you','are','with','that','this') GROUP BY term HAVING count(*) >= 5 ORDER BY n DESC, term LIMIT 100")
+@query("a15_terms", f"WITH w AS (SELECT lower(unnest(regexp_extract_all(t, '{_WORDS}'))) AS term FROM (SELECT unnest([text, thinking]) AS t FROM messages)) SELECT term, count(*) AS n FROM w WHERE term NOT IN ({STOPS_SQL}) GROUP BY term HAVING count(*) >= 5 ORDER BY n DESC, term LIMIT 100")
 def terms(spark, d, least=5, top=100):
-    """Most frequent words; counted by partial aggregation, only the top reaches one task."""
-    w = table(spark, d, "messages").select(F.explode(F.regexp_extract_all("text", F.lit(_WORDS), 0)).alias("w")).select(F.lower("w").alias("term"))
-    return w.where(~F.col("term").isin("the", "and", "for", "you", "are", "with", "that", "this")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(top)
+    """Most frequent words of texts and reasoning; counted by partial aggregation, only the top reaches one task."""
+    t = table(spark, d, "messages").select(F.explode(F.array("text", "thinking")).alias("t"))
+    w = t.select(F.explode(F.regexp_extract_all("t", F.lit(_WORDS), 0)).alias("w")).select(F.lower("w").alias("term"))
+    return w.where(~F.col("term").isin(*STOP)).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(top)
 
 
 @query(
@@ -160,21 +162,19 @@ def bigrams(spark, d, n=2, top=100):
     return g.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
-def postings(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, term, tf, len: word counts of each text."""
-    words = df.select(F.col(key), F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0).alias("ws"))
-    return words.select(key, F.size("ws").alias("len"), F.explode("ws").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-
-
 def bm25(df: DataFrame, key: str, text: Column, terms, top: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Texts that hold all `terms`, by BM25. Only the terms of the query are expanded; lengths and their mean come from one
     pass over all texts."""
-    words = df.select(F.col(key), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9]+"), 0).alias("ws"))
     count = lambda t: F.size(F.filter("ws", lambda w: w == F.lit(t)))
     tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    w = words.select(key, F.size("ws").alias("len"), *tf)
-    total = w.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    hit = w.where(reduce(lambda a, c: a & c, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
+
+    def counted(rows):
+        words = rows.select(F.col(key), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9]+"), 0).alias("ws"))
+        return words.select(key, F.size("ws").alias("len"), *tf)
+
+    total = counted(df).agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    hit = counted(df.where(reduce(lambda a, c: a & c, [holds(text, t) for t in terms])))  # only these are cut into words again
+    hit = hit.where(reduce(lambda a, c: a & c, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
     j = hit.join(F.broadcast(total), F.col("docs") >= 0)  # one row
     idf = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
     part = lambda i: idf(i) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("mean")))

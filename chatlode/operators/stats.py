@@ -1,8 +1,15 @@
-"""Statistics of the archive: counts, calendar buckets, histograms, streaks and heat maps."""
+"""Statistics of the archive: counts, calendar buckets, histograms, streaks and heat maps.
+
+Most of them come from one roll-up of the messages by conversation and local hour, which is made by the first query that
+needs it and kept for the session: one scan, one reading of the times, and a table without texts behind all of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlode.functions import timeutil
@@ -12,8 +19,27 @@ from chatlode.operators.registry import query
 from chatlode.session import table
 
 
-def _m(spark, d):
-    return timeutil.messages(spark, d)
+_ROLLUPS: dict[tuple[str, str], DataFrame] = {}
+
+
+def rollup(spark, d) -> DataFrame:
+    """n, dated, chars, lo and hi (first and last instant) of the messages by source, role, timestamp_source, conversation,
+    local day and hour. Rows of one group are combined before they are shuffled, so that a hot conversation is none."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ROLLUPS:
+        m = timeutil.messages(spark, d)
+        g = m.groupBy("source", "rl", "timestamp_source", "conversation_id", F.to_date("lt").alias("day"), F.hour("lt").alias("hour"))
+        g = g.agg(_n(), F.count("ts").alias("dated"), F.sum(F.length("text")).alias("chars"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        _ROLLUPS[key] = g.persist(StorageLevel.MEMORY_AND_DISK)
+    return _ROLLUPS[key]
+
+
+def _dated(spark, d) -> DataFrame:
+    return rollup(spark, d).where("day is not null")
+
+
+def _sum(c="n"):
+    return F.coalesce(F.sum(c), F.lit(0)).alias(c)
 
 
 def _n(name="n"):
@@ -27,26 +53,35 @@ def _convs(name="conversations"):
 @query("a1_totals", f"SELECT count(*) AS messages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM {M}")
 def totals(spark, d):
     """Messages, characters and the dated range."""
-    return _m(spark, d).agg(_n("messages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), timeutil.text_of(F.min("ts")).alias("first_at"), timeutil.text_of(F.max("ts")).alias("last_at"))
+    return rollup(spark, d).agg(_sum().alias("messages"), _sum("chars"), timeutil.text_of(F.min("lo")).alias("first_at"), timeutil.text_of(F.max("hi")).alias("last_at"))
 
 
 @query("a2_by_role", f"SELECT rl AS role, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM {R} GROUP BY rl")
 def by_role(spark, d):
-    return timeutil.roles(table(spark, d, "messages")).groupBy(F.col("rl").alias("role")).agg(_n(), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    return rollup(spark, d).groupBy(F.col("rl").alias("role")).agg(_sum(), _sum("chars"))
 
 
 @query("a3_by_source", "SELECT source, count(DISTINCT conversation_id) AS conversations, count(*) AS messages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, round(count(*) * 1.0 / count(DISTINCT conversation_id), 2) AS avg_messages FROM messages GROUP BY source")
 def by_source(spark, d):
     """Conversations, messages and characters per source: partial counts per conversation first, so that a source that
     holds a third of all rows is pre-aggregated before it meets in one task."""
-    m = table(spark, d, "messages").groupBy("source", "conversation_id").agg(_n(), F.sum(F.length("text")).alias("c"))
-    g = m.groupBy("source").agg(F.count("conversation_id").alias("conversations"), F.sum("n").alias("messages"), F.coalesce(F.sum("c"), F.lit(0)).alias("chars"))
+    m = rollup(spark, d).groupBy("source", "conversation_id").agg(_sum(), _sum("chars"))
+    g = m.groupBy("source").agg(F.count("conversation_id").alias("conversations"), F.sum("n").alias("messages"), _sum("chars"))
     return g.withColumn("avg_messages", F.round(F.col("messages") / F.col("conversations"), 2))
 
 
 @query("a4_by_timestamp_source", "SELECT timestamp_source, count(*) AS n FROM messages GROUP BY timestamp_source")
 def by_timestamp_source(spark, d):
-    return table(spark, d, "messages").groupBy("timestamp_source").agg(_n())
+    return rollup(spark, d).groupBy("timestamp_source").agg(_sum())
+
+
+def _key(java):
+    """Text of a row's bucket: `java` is a pattern of its day, an hour behind it or alone."""
+    if java == "e":
+        return (F.dayofweek("day") - 1).cast("string")  # 0 is Sunday
+    hour = F.lpad(F.col("hour").cast("string"), 2, "0")
+    day = java.removesuffix("HH").strip()
+    return hour if not day else F.concat(timeutil.text_of(F.col("day"), day), F.lit(" "), hour) if java.endswith("HH") else timeutil.text_of(F.col("day"), day)
 
 
 def _bucket(name, java, duck, convs=True):
@@ -54,8 +89,8 @@ def _bucket(name, java, duck, convs=True):
 
     @query(name, f"SELECT strftime(lt, '{duck}') AS k, count(*) AS n{more} FROM {M} WHERE lt IS NOT NULL GROUP BY k")
     def run(spark, d):
-        g = _m(spark, d).where("lt is not null").groupBy(timeutil.text_of(F.col("lt"), java).alias("k"))
-        return g.agg(_n(), _convs()) if convs else g.agg(_n())
+        g = _dated(spark, d).groupBy(_key(java).alias("k"))
+        return g.agg(_sum(), _convs()) if convs else g.agg(_sum())
 
     return run
 
@@ -70,12 +105,12 @@ timeline_hour = _bucket("a12_timeline_hour", "yyyy-MM-dd HH", "%Y-%m-%d %H")
 @query("a5_by_weekday", f"SELECT CAST(dayofweek(lt) AS BIGINT) AS weekday, count(*) AS n FROM {M} WHERE lt IS NOT NULL GROUP BY weekday")
 def by_weekday(spark, d):
     """Weekday 0 is Sunday."""
-    return _m(spark, d).where("lt is not null").groupBy((F.dayofweek("lt") - 1).cast("long").alias("weekday")).agg(_n())
+    return _dated(spark, d).groupBy((F.dayofweek("day") - 1).cast("long").alias("weekday")).agg(_sum())
 
 
 def _cells(spark, d):
     grid = spark.range(168).select((F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour"))
-    n = _m(spark, d).where("lt is not null").groupBy((F.dayofweek("lt") - 1).alias("weekday"), F.hour("lt").alias("hour")).agg(_n())
+    n = _dated(spark, d).groupBy((F.dayofweek("day") - 1).alias("weekday"), "hour").agg(_sum())
     return grid.join(n, ["weekday", "hour"], "left").select("weekday", "hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -141,17 +176,18 @@ def models(spark, d):
 
 @query(
     "a10_ratios",
-    f"SELECT round(sum(length(text)) * 1.0 / count(*), 3) AS avg_chars, greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 86400) AS BIGINT) + 1) AS span_days, count(DISTINCT CAST(lt AS DATE)) AS active_days, round(count(ts) * 1.0 / count(DISTINCT CAST(lt AS DATE)), 3) AS per_active_day FROM {M}",
+    f"SELECT round(sum(length(text)) * 1.0 / count(*), 3) AS avg_chars, greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 86400) AS BIGINT) + 1) AS span_days, count(DISTINCT CAST(lt AS DATE)) AS active_days, round(count(ts) * 1.0 / count(DISTINCT CAST(lt AS DATE)), 3) AS per_active_day, round(count(*) * 1.0 / (greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 86400) AS BIGINT) + 1)), 3) AS per_day, round((SELECT count(*) FROM (SELECT DISTINCT conversation_id, CAST(lt AS DATE) FROM {M} WHERE lt IS NOT NULL AND conversation_id IS NOT NULL)) * 1.0 / count(DISTINCT CAST(lt AS DATE)), 3) AS conversations_per_active_day FROM {M}",
 )
 def ratios(spark, d):
-    m = _m(spark, d)
-    g = m.groupBy(F.to_date("lt").alias("day")).agg(_n(), F.count("ts").alias("dated"), F.sum(F.length("text")).alias("c"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    t = g.agg(F.sum("n").alias("n"), F.sum("dated").alias("dated"), F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("day").alias("active_days"))
+    g = rollup(spark, d).groupBy("day").agg(_sum(), _sum("dated"), F.sum("chars").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.countDistinct("conversation_id").alias("convs"))
+    t = g.agg(F.sum(F.when(F.col("day").isNotNull(), F.col("convs"))).alias("convs"), F.sum("n").alias("n"), F.sum("dated").alias("dated"), F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("day").alias("active_days"))
     span = F.floor((F.unix_micros(F.col("hi").cast("timestamp")) - F.unix_micros(F.col("lo").cast("timestamp"))) / 86_400_000_000) + 1
-    return t.select(F.round(F.col("c") / F.col("n"), 3).alias("avg_chars"), F.greatest(F.lit(1), span).alias("span_days"), "active_days", F.round(F.col("dated") / F.col("active_days"), 3).alias("per_active_day"))
+    days = F.greatest(F.lit(1), span)
+    per = lambda a, b: F.round(a / b, 3)
+    return t.select(per(F.col("c"), F.col("n")).alias("avg_chars"), days.alias("span_days"), "active_days", per(F.col("dated"), F.col("active_days")).alias("per_active_day"), per(F.col("n"), days).alias("per_day"), per(F.col("convs"), F.col("active_days")).alias("conversations_per_active_day"))
 
 
-_UNITS = {"day": ("yyyy-MM-dd", "%Y-%m-%d"), "month": ("yyyy-MM", "%Y-%m"), "hour": ("HH", "%H")}
+_UNITS = {"day": ("yyyy-MM-dd", "%Y-%m-%d"), "month": ("yyyy-MM", "%Y-%m"), "hour": ("HH", "%H"), "weekday": ("e", "%w")}
 
 
 @query(
@@ -160,17 +196,17 @@ _UNITS = {"day": ("yyyy-MM-dd", "%Y-%m-%d"), "month": ("yyyy-MM", "%Y-%m"), "hou
 )
 def busiest(spark, d):
     """Bucket of most messages of each unit, the first on ties; all units from one pass."""
-    m = _m(spark, d).where("lt is not null")
-    each = m.select(F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), timeutil.text_of(F.col("lt"), java).alias("k")) for u, (java, _) in _UNITS.items()])).alias("x")).select("x.*")
-    g = each.groupBy("unit", "k").agg(_n())
+    each = _dated(spark, d).select("n", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), _key(java).alias("k")) for u, (java, _) in _UNITS.items()])).alias("x")).select("n", "x.*")
+    g = each.groupBy("unit", "k").agg(_sum())
     return g.groupBy("unit").agg(F.max_by(F.struct("k", "n"), F.struct("n", F.translate("k", "0123456789", "9876543210"))).alias("b")).select("unit", "b.k", "b.n")
 
 
 @query("a13_day", f"SELECT conversation_id, count(*) AS n, strftime(min(lt), '%H:%M:%S') AS first_at, strftime(max(lt), '%H:%M:%S') AS last_at FROM {M} WHERE lt >= TIMESTAMP '2025-06-27' AND lt < TIMESTAMP '2025-06-28' GROUP BY conversation_id")
 def day(spark, d, date="2025-06-27"):
     """Conversations of one local day with their hits."""
-    m = _m(spark, d).where((F.col("lt") >= F.lit(date).cast("timestamp_ntz")) & (F.col("lt") < F.date_add(F.lit(date), 1).cast("timestamp_ntz")))
-    return m.groupBy("conversation_id").agg(_n(), timeutil.text_of(F.min("lt"), "HH:mm:ss").alias("first_at"), timeutil.text_of(F.max("lt"), "HH:mm:ss").alias("last_at"))
+    m = rollup(spark, d).where(F.col("day") == F.lit(date).cast("date"))
+    at = lambda ts: timeutil.text_of(timeutil.local(ts), "HH:mm:ss")
+    return m.groupBy("conversation_id").agg(_sum(), at(F.min("lo")).alias("first_at"), at(F.max("hi")).alias("last_at"))
 
 
 @query(
@@ -179,7 +215,7 @@ def day(spark, d, date="2025-06-27"):
 )
 def streak(spark, d):
     """Longest and last run of consecutive active days. The window runs over distinct days, a calendar's worth of rows."""
-    days = _m(spark, d).where("lt is not null").select(F.to_date("lt").alias("day")).distinct()
+    days = _dated(spark, d).select("day").distinct()
     i = days.withColumn("g", F.date_sub("day", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("day"))))
     s = i.groupBy("g").agg(_n(), F.max("day").alias("last"))
     return s.agg(F.max("n").alias("longest"), F.max_by("n", "last").alias("last_streak"))
@@ -191,7 +227,7 @@ def streak(spark, d):
 )
 def filled_days(spark, d):
     """Messages per local day, days without any filled with zero."""
-    n = _m(spark, d).where("lt is not null").groupBy(F.to_date("lt").alias("day")).agg(_n())
+    n = _dated(spark, d).groupBy("day").agg(_sum())
     r = n.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
     return r.join(n, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -203,7 +239,7 @@ def flags(spark, d):
 
 @query("a21_import_summary", f"SELECT source, timestamp_source, count(*) AS n, round(count(*) FILTER (ts IS NOT NULL) * 1.0 / count(*), 4) AS dated FROM {M} GROUP BY source, timestamp_source")
 def import_summary(spark, d):
-    return _m(spark, d).groupBy("source", "timestamp_source").agg(_n(), F.round(F.count("ts") / F.count("*"), 4).alias("dated"))
+    return rollup(spark, d).groupBy("source", "timestamp_source").agg(_sum(), F.round(F.sum("dated") / F.sum("n"), 4).alias("dated"))
 
 
 @query("t5_longest_message", "SELECT id, CAST(length(text) AS BIGINT) AS chars, substr(text, 1, 140) AS head FROM messages WHERE text IS NOT NULL ORDER BY length(text) DESC, id LIMIT 1")
@@ -211,16 +247,20 @@ def longest_message(spark, d):
     return table(spark, d, "messages").where("text is not null").select("id", F.length("text").cast("long").alias("chars"), F.substring("text", 1, 140).alias("head")).orderBy(F.desc("chars"), "id").limit(1)
 
 
+TOP_LISTS = ("n", "chars", "span_us", "last_us")
+
+
 @query(
     "t4_top_conversations",
-    f"WITH g AS (SELECT conversation_id, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS span_us FROM {M} GROUP BY conversation_id) "
-    + " UNION ALL ".join(f"(SELECT '{k}' AS list, conversation_id, n, chars, span_us FROM g WHERE {k} IS NOT NULL ORDER BY {k} DESC, conversation_id LIMIT 12)" for k in ("n", "chars", "span_us")),
+    f"WITH g AS (SELECT conversation_id, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS span_us, epoch_us(max(ts)) AS last_us FROM {M} GROUP BY conversation_id) "
+    + " UNION ALL ".join(f"(SELECT '{k}' AS list, conversation_id, n, chars, span_us FROM g WHERE {k} IS NOT NULL ORDER BY {k} DESC, conversation_id LIMIT 12)" for k in TOP_LISTS),
 )
 def top_conversations(spark, d):
-    """Twelve conversations of most messages, characters and longest span; top-k per list by partial sorts."""
-    g = _m(spark, d).groupBy("conversation_id").agg(_n(), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("span_us"))
-    lists = [g.where(F.col(k).isNotNull()).orderBy(F.desc(k), "conversation_id").limit(12).select(F.lit(k).alias("list"), "conversation_id", "n", "chars", "span_us") for k in ("n", "chars", "span_us")]
-    return lists[0].union(lists[1]).union(lists[2])
+    """Twelve conversations of most messages and characters, longest span and latest message; top-k per list by partial sorts."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    g = rollup(spark, d).groupBy("conversation_id").agg(_sum(), _sum("chars"), (us(F.max("hi")) - us(F.min("lo"))).alias("span_us"), us(F.max("hi")).alias("last_us"))
+    lists = [g.where(F.col(k).isNotNull()).orderBy(F.desc(k), "conversation_id").limit(12).select(F.lit(k).alias("list"), "conversation_id", "n", "chars", "span_us") for k in TOP_LISTS]
+    return reduce(DataFrame.union, lists)
 
 
 @query("a16_conversation_chars", "SELECT conversation_id, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, CAST(coalesce(sum(length(thinking)), 0) AS BIGINT) AS thinking_chars FROM messages GROUP BY conversation_id")

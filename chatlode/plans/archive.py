@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatlode.operators import classify, enrichment, relations, search, stats, timestamps, topics, views  # noqa: F401  the modules register their queries
+from chatlode.operators import classify, enrichment, relations, roundtrip, search, stats, timestamps, topics, views  # noqa: F401  the modules register their queries
 from chatlode.operators.registry import QUERIES
 
 

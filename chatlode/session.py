@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows a side may have to be broadcast by `small`; beyond it the join is left to Spark.
+#: Most rows and, roughly, bytes a side may have to be broadcast by `small`; beyond them the join is left to Spark.
 SMALL_ROWS = 20_000
+SMALL_BYTES = 16_000_000
 
 
 def get_spark(app: str = "chatlode", cores: str | int = "*") -> SparkSession:
@@ -54,17 +57,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
             if not conf.get("spark.master", "local").startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="chatlode-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """`df` with a broadcast hint when it is proven to have at most `limit` rows, else unhinted.
+def small(df: DataFrame, limit: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """`df` with a broadcast hint when it is proven to have at most `limit` rows and about `size` bytes, else unhinted.
 
     The proof fetches up to `limit` + 1 rows; where it succeeds, those rows are used, so `df` is computed once.
     """
     rows = df.limit(limit + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
+    fits = len(rows) <= limit and sum(len(str(r)) for r in rows) <= size
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if fits else df
 
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:

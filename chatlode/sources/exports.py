@@ -370,6 +370,17 @@ def read_activity_json(spark, path):
     return _items(_elements(spark, path), lambda raw: activity_json(json.loads(raw)))
 
 
+def timeline(activity: DataFrame) -> DataFrame:
+    """item, prompt, at: the dated prompts of activity rows, as a backfill of times wants them; items are in the order of time."""
+    at = F.to_timestamp("timestamp")
+    return activity.where("role = 'user' and timestamp is not null").select(F.unix_micros(at).alias("item"), F.col("text").alias("prompt"), F.col("timestamp").alias("at"))
+
+
+def read_base(spark, path):
+    """Message rows that an earlier run wrote as JSON lines."""
+    return spark.read.schema(ROWS).json(path)
+
+
 def kind_of(path, head):
     """Kind of an export by its name and the first 2 MiB of its content."""
     name, body = F.lower(F.element_at(F.split(path, "/"), -1)), F.substring(head, 1, 2_097_152)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 
 def fingerprint(messages: DataFrame, keys=("source", "conversation_id")) -> DataFrame:
-    """keys, n, print: number of messages and digest of a conversation. Messages are digested one by one and the sorted
-    digests together, so that only digests are gathered."""
-    one = F.sha2(F.to_json(F.struct("message_index", "role", "timestamp", "text", "thinking", "attachments")), 256)
-    return messages.select(*keys, "message_index", one.alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("print"))
+    """keys, n, print: number of messages and digest of a conversation, in any order of its rows: sums and exclusive sums of two
+    digests of each message, so that a conversation of any size is combined where it lies."""
+    row = F.to_json(F.struct("message_index", "role", "timestamp", "text", "thinking", "attachments"))
+    g = messages.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.xxhash64(row).cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(7), row)).alias("b"))
+    return g.select(*keys, "n", F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"), F.col("n").cast("string")).alias("print"))
 
 
 def merge(base: DataFrame, new: DataFrame, keys=("source", "conversation_id"), activity: str = "gemini") -> tuple[DataFrame, DataFrame]:
@@ -39,6 +40,19 @@ def merge(base: DataFrame, new: DataFrame, keys=("source", "conversation_id"), a
     return rest.unionByName(got, allowMissingColumns=True), changes
 
 
+def upsert(base: DataFrame, new: DataFrame, keys=("conversation_id",)) -> DataFrame:
+    """`base` with the rows of `new` in place of those of the same keys; a null key is never the same as another."""
+    return base.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def record_errors(errors: DataFrame, tries: DataFrame) -> DataFrame:
+    """`errors` (conversation_id, model, error, attempts, tried_at) after further failed `tries` (the same without attempts): one
+    row a conversation, attempts added up, model and error those of the last try."""
+    both = errors.unionByName(tries.withColumn("attempts", F.lit(1)))
+    last = F.max_by(F.struct("model", "error", "tried_at"), F.struct("tried_at", "error")).alias("l")
+    return both.groupBy("conversation_id").agg(last, F.sum("attempts").cast("int").alias("attempts")).select("conversation_id", "l.model", "l.error", "attempts", "l.tried_at")
+
+
 def unseen(inputs: DataFrame, seen: DataFrame) -> DataFrame:
     """Inputs whose path and digest are not those of an earlier run."""
     return inputs.join(seen.select("path", "sha256"), ["path", "sha256"], "left_anti")
@@ -112,9 +126,9 @@ def selection_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("collection", "conversation_id").applyInPandasWithState(step, out, "seq long, member boolean, since long", "update", "NoTimeout")
 
 
-def windowed_counts(events: DataFrame, at: str = "ts", late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events per source and tumbling window with a watermark for late rows; works on batches and streams."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width), "source").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "source", "n")
+def windowed_counts(events: DataFrame, at: str = "ts", late: str = "1 hour", width: str = "1 day", by: str = "source") -> DataFrame:
+    """Events per `by` and tumbling window with a watermark for late rows; works on batches and streams."""
+    return events.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
 def land(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str):

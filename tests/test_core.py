@@ -253,6 +253,14 @@ def test_array_elements(size):
     assert list(exports.array_elements(["[ ]"])) == []
 
 
+def test_timeline_and_base(spark, tmp_path):
+    item = {"header": "Gemini Apps", "title": "Prompted what is it?", "time": "2024-01-02T03:04:05Z", "safeHtmlItem": [{"html": "<p>x</p>"}]}
+    rows = exports.read_activity_json(spark, _write(tmp_path / "My Activity.json", json.dumps([item, item | {"time": None}])))
+    assert [(r.prompt, r.at) for r in exports.timeline(rows).collect()] == [("what is it?", "2024-01-02T03:04:05+00:00")]
+    sinks.write_jsonl(rows, str(tmp_path / "base"))
+    assert sorted(map(str, exports.read_base(spark, str(tmp_path / "base")).collect())) == sorted(map(str, rows.collect()))
+
+
 def test_dispatch_by_kind(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     tree = [{"id": "t", "mapping": {"r": {"message": {"author": {"role": "user"}, "create_time": 1, "content": {"parts": ["hi"]}}}}}]
