@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatlode.functions import timeutil
+from chatlode.operators.registry import MESSAGES_SQL as M
 from chatlode.operators.registry import ROLES_SQL as R
 from chatlode.operators.registry import query
 from chatlode.session import table
-from chatlode.sources import exports
+from chatlode.sources import exports, sinks
 from chatlode.streaming import incremental
 
 #: What the readers take for whitespace at the ends of a text.
@@ -80,6 +81,17 @@ def contents(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.transform(heads, line), "\n").alias("contents"))
 
 
+@query(
+    "snk2_blocks",
+    "SELECT id, '## ' || coalesce('[' || message_index || '] ', '') || coalesce(role, '') || CASE WHEN lt IS NULL THEN '' ELSE ' — ' || strftime(lt, '%Y-%m-%d %H:%M') || coalesce(' (' || timestamp_source || ')', '') END || chr(10) || chr(10) || CASE WHEN coalesce(model, '') <> '' THEN '*' || model || '*' || chr(10) || chr(10) ELSE '' END "
+    "|| CASE WHEN coalesce(thinking, '') <> '' THEN '<details>' || chr(10) || chr(10) || thinking || chr(10) || chr(10) || '</details>' || chr(10) || chr(10) ELSE '' END || CASE WHEN len(attachments) > 0 THEN '- ' || array_to_string(attachments, chr(10) || '- ') || chr(10) || chr(10) ELSE '' END "
+    f"|| regexp_replace(coalesce(text, ''), '(^|\\n)(#{{1,5}} )', '\\1#\\2', 'g') AS block FROM {M}",
+)
+def blocks(spark, d):
+    """Each message as the block of its conversation's Markdown document."""
+    return timeutil.messages(spark, d).select("id", sinks.message_block(thinking=True, demote=True).alias("block"))
+
+
 @query("j12_tier_records", "WITH b AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY prompt_version DESC NULLS LAST, analyzed_at DESC NULLS LAST, value DESC NULLS LAST) AS r FROM analysis WHERE value IS NOT NULL) SELECT CASE WHEN value >= 4 THEN 'high' WHEN value = 3 THEN 'mid' ELSE 'low' END AS tier, conversation_id, prompt_version, CAST(value AS INTEGER) AS value FROM b WHERE r = 1")
 def tier_records(spark, d):
     """The latest valued analysis of each conversation with its tier."""

@@ -282,7 +282,34 @@ def slug(spark, d):
     return table(spark, d, "conversations").select("conversation_id", F.when(s == "", "untitled").otherwise(s).alias("slug"))
 
 
-@query("x18_demoted_headings", r"SELECT doc_id, regexp_replace(text, '(^|\n)(#{1,5} )', '\1#\2', 'g') AS text FROM documents")
+@query("x18_demoted_headings", r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)<details>.*?</details>\s*', '', 'g'), '(^|\n)(#{1,5} )', '\1#\2', 'g') AS text FROM documents")
 def demoted(spark, d):
-    """Markdown headings one level lower."""
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"(^|\n)(#{1,5} )", "$1#$2").alias("text"))
+    """Markdown without reasoning, its headings one level lower."""
+    plain = F.regexp_replace("text", r"(?s)<details>.*?</details>\s*", "")
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace(plain, r"(^|\n)(#{1,5} )", "$1#$2").alias("text"))
+
+
+def plain_of_html(col: Column) -> Column:
+    """The text that `mark_html` was made from."""
+    e = F.regexp_replace(col, "</?mark>", "")
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
+        e = F.replace(e, F.lit(a), F.lit(b))
+    return e
+
+
+@query("x19_plain", "SELECT id, text FROM messages WHERE contains(lower(text), 'memory leak') AND NOT regexp_matches(text, '</?mark>')")
+def plain(spark, d):
+    """Marked texts back in plain form."""
+    m = table(spark, d, "messages")
+    m = m.where(holds(m.text, "memory leak") & ~m.text.rlike("</?mark>"))
+    return m.select("id", plain_of_html(mark_html(m.text, TERMS)).alias("text"))
+
+
+_BOTH = ("login endpoint", "build cache")
+
+
+@query("a14_samples", f"SELECT id, conversation_id FROM {M} WHERE " + " AND ".join(f"(contains(lower(coalesce(text, '')), '{t}') OR contains(lower(coalesce(thinking, '')), '{t}'))" for t in _BOTH) + " ORDER BY ts DESC NULLS LAST, id DESC LIMIT 5")
+def cooccurrence_samples(spark, d, most=5):
+    """The latest messages that hold both terms; the limit is the feature."""
+    m = timeutil.messages(spark, d, all_terms(_BOTH))
+    return m.orderBy(F.desc_nulls_last("ts"), F.desc("id")).limit(most).select("id", "conversation_id")

@@ -306,8 +306,16 @@ def test_discovery_archives_lexicon(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     m = spark.createDataFrame([("c", 1, 2, "assistant", None, "<b>", None, "native", "s"), ("c", 0, 1, "user", "2024", "hi", None, "native", "s"), (None, 0, 3, "user", None, "x", None, None, "s")], "conversation_id string, message_index int, id long, role string, timestamp string, text string, thinking string, timestamp_source string, source string")
-    doc = sinks.conversation_documents(m).collect()
-    assert doc[0].markdown == "## [0] user — 2024\n\nhi\n\n## [1] assistant\n\n<b>"
+    m = m.withColumn("timestamp", F.when(F.col("id") == 1, "2024-01-01T20:00:00+00:00"))
+    doc = sinks.conversation_documents(m, spark.createDataFrame([("c", 'A "B"')], "conversation_id string, title string"), demote=True).collect()
+    assert doc[0].markdown == '---\ntitle: "A \\"B\\""\nid: c\nsource: s\nmessages: 2\n---\n\n## [0] user — 2024-01-02 04:00 (native)\n\nhi\n\n## [1] assistant\n\n<b>'
+    assert doc[0].name == "2024-01-02_a-b_c.md" and sinks.with_contents(spark.createDataFrame(doc)).first().markdown.startswith(f"- [[{doc[0].name}]]\n\n# {doc[0].name}\n\n---")
+    for form, head in (("md", "---"), ("html", "<!doctype"), ("jsonl", "{")):
+        sinks.export(m, spark.createDataFrame([("c",)], "conversation_id string"), form, str(tmp_path / form))
+        assert spark.read.text(str(tmp_path / form), wholetext=True).where(F.length("value") > 0).first().value.startswith(head)
+    sinks.append_selection(spark, str(tmp_path / "log"), [(1, None, "c", "add", "x", None)])
+    sinks.append_selection(spark, str(tmp_path / "log"), [(2, None, "c", "remove", "x", None)])
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     docs = spark.createDataFrame(doc)
     assert "&lt;b&gt;" in sinks.html_page(docs).first().html
     assert sinks.changed_only(docs, docs).count() == 0 and sinks.changed_only(docs, docs.where("false")).count() == 1
@@ -315,7 +323,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_jsonl(m, str(tmp_path / "o"))
     assert spark.read.json(str(tmp_path / "o")).count() == 3
     row = sinks.manifest(m, spark.createDataFrame([("p", "s")], "path string, sha256 string")).first()
-    assert row["inputs"] == {"p": "s"} and row["source"] == {"s": 3}
+    assert row["inputs"] == {"p": "s"} and row["source"] == {"s": 3} and row["dated"] == 0.3333 and row["unmatched"] == [2, 3]
 
 
 # --- incremental and streaming -----------------------------------------------------------------------------------------
