@@ -85,8 +85,12 @@ def _letters(text: str) -> str:
     if text.isascii():
         t = text.lower().encode().translate(None, _SIGNS).decode()
     else:
-        t = _NOT_LETTER.sub("", unicodedata.normalize("NFKC", text).upper().lower())
-    period = (t + t).find(t, 1) if t else 0
+        t = _NOT_LETTER.sub("", text)  # signs first: what is left is mostly in normal form
+        if not t.isascii() and not unicodedata.is_normalized("NFKC", t):
+            t = _NOT_LETTER.sub("", unicodedata.normalize("NFKC", t))
+        t = t.upper().lower()
+    at = t.find(t[: min(8, len(t) // 2)], 1) if t else -1  # a text can only repeat where its start does
+    period = (t + t).find(t, at) if at > 0 else 0
     return t[:period] if 0 < period < len(t) else t
 
 
@@ -137,8 +141,11 @@ def stops_early(t: str) -> tuple[bool, str | None]:
 BESIDE = 24
 
 
+_FAR = re.compile(r"[\u2e80-\U0010ffff]")
+
+
 def _weight(x: str) -> int:
-    return len(_NOT_LETTER.sub("", x)) * (2 if ord(max(x)) > 0x2E7F else 1)
+    return len(_NOT_LETTER.sub("", x)) * (1 if x.isascii() or not _FAR.search(x) else 2)
 
 
 def opening(t: str, hinted: bool = True) -> tuple[str | None, bool, bool]:
@@ -149,7 +156,7 @@ def opening(t: str, hinted: bool = True) -> tuple[str | None, bool, bool]:
     t = t.replace("’", "'")
     framed = "```" in t or "\n" in t and ("\n|" in t or _LISTED.search(t) is not None)
     head, beside, plain, declines = "", 0, 0, False
-    for m in _SENT.finditer(_BOLD.sub("", t)):
+    for m in _SENT.finditer(_BOLD.sub("", t) if t.startswith("**") else t):
         x = m.group(0).strip()
         if not x or _COURTESY.match(x):
             continue
