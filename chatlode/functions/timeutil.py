@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from chatlode.functions.text import bound, role
 from chatlode.operators.timestamps import mixtures, normalize_timestamps
-from chatlode.session import table
+from chatlode.session import table, version
 
-_MIXTURES: dict[tuple[str, str], list] = {}
+_MIXTURES: dict[tuple[str, str], tuple[int, list]] = {}
 _RAW = ("source", "timestamp_source", "timestamp")
 
 
@@ -25,14 +25,14 @@ def roles(df: DataFrame) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str, where: Column | str | None = None, hours: float = 8) -> DataFrame:
     """Messages with rl (role through its aliases), ts (the instant that the time text denotes, UTC) and lt (display zone), all
     formats read. `where` is put before the times are read. The sources' mixtures of formats, a few rows from all values,
-    are found once per session and folder."""
+    are found once per session and set of files."""
     m = table(spark, sf_dir, "messages")
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key, now = (spark.sparkContext.applicationId, sf_dir), version(m)
     schema = "source string, timestamp_source string, home_zone string, weights map<string,double>"
     sources = table(spark, sf_dir, "export_sources")
-    if key not in _MIXTURES:
-        _MIXTURES[key] = mixtures(m, sources).collect()  # one row per source
-    sides = spark.createDataFrame(_MIXTURES[key], schema)
+    if _MIXTURES.get(key, (None,))[0] != now:
+        _MIXTURES[key] = (now, mixtures(m, sources).collect())  # one row per source
+    sides = spark.createDataFrame(_MIXTURES[key][1], schema)
     m = m if where is None else m.where(where)
     kept = [c for c in m.columns if c != "id" and c not in _RAW]
     m = m.select("id", *kept, *_RAW, *[F.col(c).alias(f"_{c}") for c in _RAW])

@@ -16,22 +16,25 @@ from chatlode.functions import timeutil
 from chatlode.operators.registry import MESSAGES_SQL as M
 from chatlode.operators.registry import ROLES_SQL as R
 from chatlode.operators.registry import query
-from chatlode.session import table
+from chatlode.session import table, version
 
 
-_ROLLUPS: dict[tuple[str, str], DataFrame] = {}
+_ROLLUPS: dict[tuple[str, str], tuple[int, DataFrame]] = {}
 
 
 def rollup(spark, d) -> DataFrame:
     """n, dated, chars, lo and hi (first and last instant) of the messages by source, role, timestamp_source, conversation,
     local day and hour. Rows of one group are combined before they are shuffled, so that a hot conversation is none."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _ROLLUPS:
+    key, now = (spark.sparkContext.applicationId, d), version(table(spark, d, "messages"))
+    was, kept = _ROLLUPS.get(key, (None, None))
+    if was != now:
+        if kept is not None:
+            kept.unpersist()
         m = timeutil.messages(spark, d)
         g = m.groupBy("source", "rl", "timestamp_source", "conversation_id", F.to_date("lt").alias("day"), F.hour("lt").alias("hour"))
         g = g.agg(_n(), F.count("ts").alias("dated"), F.sum(F.length("text")).alias("chars"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        _ROLLUPS[key] = g.persist(StorageLevel.MEMORY_AND_DISK)
-    return _ROLLUPS[key]
+        _ROLLUPS[key] = (now, g.persist(StorageLevel.MEMORY_AND_DISK))
+    return _ROLLUPS[key][1]
 
 
 def _dated(spark, d) -> DataFrame:

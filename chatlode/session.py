@@ -43,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version(df: DataFrame) -> int:
+    """A number that changes with the files that `df` reads: what is kept for a session is made anew then."""
+    return hash(tuple(sorted(df.inputFiles())))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint.
 

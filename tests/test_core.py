@@ -85,6 +85,16 @@ def test_long_conversations_equal_sql(spark, long_conversation, name):
         assert dict((i, at) for at, i in got)[2600] == "2024-02-01 00:14:58"  # from 1,700 indexes before
 
 
+def test_statistics_follow_the_files(spark, sf, tmp_path):
+    """What is kept for a session is made anew when the table has other files."""
+    for t in ("messages", "export_sources", "zone_abbrevs"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    count = lambda: archive.queries()["a1_totals"](spark, str(tmp_path)).first().messages
+    n = count()
+    spark.read.parquet(f"{sf}/messages.parquet").limit(7).write.mode("append").parquet(f"{tmp_path}/messages.parquet")
+    assert count() == n + 7
+
+
 @pytest.mark.parametrize("name", sorted(set(archive.queries()) - set(archive.oracle_sql())))
 def test_queries_without_sql_run(spark, sf, name):
     assert archive.queries()[name](spark, sf).count() > 0
