@@ -54,12 +54,12 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def program(sizes: np.ndarray, counts: np.ndarray, room: int, share: float = 0.5, lean: float = 1.06, bend: float = 0.25, rest: float = 0.02) -> tuple[list[tuple[np.ndarray, float]], float]:
+def program(sizes: np.ndarray, counts: np.ndarray, room: int, share: float = 1.0, lean: float = 1.06, bend: float = 0.25, rest: float = 0.02) -> tuple[list[tuple[np.ndarray, float]], float]:
     """(configurations with their fractional counts, dual bound on the number of containers).
 
-    `share` of what the scarcest length of a configuration still needs is added at each step; a length's weight falls with
-    the power `bend` of the part that it still needs, `lean` makes long items dearer than their length, as they are the
-    harder to place. It ends when all but `rest` of the volume is covered: the rounding places the rest.
+    `share` of what the scarcest length of a configuration still needs, all of it by default, is added at each step; a
+    length's weight falls with the power `bend` of the part that it still needs, `lean` makes long items dearer than their
+    length, as they are the harder to place. It ends when all but `rest` of the volume is covered: the rounding places the rest.
     """
     need, volume = counts.astype(float), float((counts * sizes).sum())
     base = sizes.astype(float) ** lean
